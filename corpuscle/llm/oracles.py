@@ -33,4 +33,39 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM r
 """
 
-SQL = {"op1_quality_rules": OP1}
+
+
+def _kind(at: int, name: str, pattern: str, valid: str) -> str:
+    """Matches of one kind with their places: marks around the matches, then running lengths."""
+    return rf"""
+SELECT doc_id, {at} AS k, '{name}' AS kind, start, start + length(p) AS stop FROM (
+  SELECT doc_id, p, o, CAST(coalesce(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM (SELECT doc_id, unnest(s) AS p, generate_subscripts(s, 1) AS o
+        FROM (SELECT doc_id, string_split(regexp_replace(t, '({pattern})', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS s FROM d)))
+WHERE o % 2 = 0 AND {valid}"""
+
+
+_DIGITS = "regexp_replace(p, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(0, length({_DIGITS})), lambda i: CASE WHEN i % 2 = 0 THEN CAST({_DIGITS}[length({_DIGITS}) - i] AS INT) WHEN CAST({_DIGITS}[length({_DIGITS}) - i] AS INT) > 4 THEN 2 * CAST({_DIGITS}[length({_DIGITS}) - i] AS INT) - 9 ELSE 2 * CAST({_DIGITS}[length({_DIGITS}) - i] AS INT) END)) % 10 = 0"
+_PLAIN = "regexp_replace(p, '[^A-Za-z0-9]', '', 'g')"
+_TURNED = f"({_PLAIN}[5:] || {_PLAIN}[1:4])"
+_MOD97 = f"list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split({_TURNED}, ''), lambda c: CAST(CASE WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END AS BIGINT))), lambda a, v: CASE WHEN v >= 10 THEN (a * 100 + v) % 97 ELSE (a * 10 + v) % 97 END) = 1"
+
+OP3 = rf"""
+WITH d AS (SELECT doc_id, replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
+m AS ({" UNION ALL ".join([
+    _kind(0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    _kind(1, "ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(p, '.'), lambda x: CAST(x AS HUGEINT) > 255)) = 0"),
+    _kind(2, "card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}"),
+    _kind(3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+    _kind(4, "iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", _MOD97),
+])}),
+a AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone, count(*) FILTER (k = 4) AS n_iban,
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < 4) AS base,
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  coalesce(n_iban, 0) AS n_iban, CAST(0 AS BIGINT) AS n_ssn, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
+SQL = {"op1_quality_rules": OP1, "op3_pii": OP3}

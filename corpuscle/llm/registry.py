@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from corpuscle.llm import oracles, quality
+from corpuscle.llm import oracles, pii, quality
 
 
 def queries() -> dict:
-    found = [quality.op1_quality_rules]
+    found = [quality.op1_quality_rules, pii.op3_pii]
     return {f.__name__: f for f in found}
 
 
