@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from corpuscle.llm import oracles, pii, quality
+from corpuscle.llm import langid, oracles, pii, quality, tokens
 
 
 def queries() -> dict:
-    found = [quality.op1_quality_rules, pii.op3_pii]
+    found = [quality.op1_quality_rules, pii.op3_pii, tokens.op4_token_counts, langid.op8_language_id]
     return {f.__name__: f for f in found}
 
 

@@ -53,3 +53,31 @@ def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+#: Bytes of text that one step of a Python operator works on at once.
+STEP_BYTES = 4 << 20
+
+
+def map_texts(df: DataFrame, step, schema: str, text: str = "text", most: int = STEP_BYTES) -> DataFrame:
+    """`step(rows, texts)` over the rows of df, in steps of at most `most` bytes of text (one row at
+    least). rows: an Arrow batch of the other columns; texts: list of bytes (UTF-8), None for null.
+    step returns an Arrow batch, or a list of columns in the order of schema."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            data = batch.column(at).cast(pa.binary())
+            rest = pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at], names=[n for i, n in enumerate(batch.schema.names) if i != at])
+            sizes = [0 if x is None else x for x in pa.compute.binary_length(data).to_pylist()]
+            for a, b in slices(sizes, most):
+                made = step(rest.slice(a, b - a), data.slice(a, b - a).to_pylist())
+                for x in made if hasattr(made, "__next__") else [made]:
+                    yield x if isinstance(x, pa.RecordBatch) else pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(x, out, strict=True)], schema=out)
+
+    return df.mapInArrow(run, schema)
