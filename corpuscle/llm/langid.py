@@ -7,7 +7,8 @@ ROWS labelled rows with the smallest hash of their id, SAMPLE_CHARS characters o
 each task hold that many characters for each language, whatever the input's size.
 
 Defined cases: null text, or a text without a letter: `und`, score 0, rejected. With no labelled row at
-all every text is `und`. Equal sizes: the language that sorts first, score 0. Repeated rows give equal
+all every text is `und`. Equal sizes: the language with more labelled rows, then
+the one that sorts first; score 0. Repeated rows give equal
 results. Only text decides; other columns pass through under their own names.
 """
 
@@ -19,12 +20,13 @@ from pyspark.sql.window import Window
 
 from corpuscle.llm.shared import documents, map_texts
 
-ROWS = 192
+ROWS = 384
 SAMPLE_CHARS = 512
-PIECE = 2048
-LEVEL = 1
+PIECE = 1024
+#: Short matches and a table that holds the whole dictionary: syllables and endings tell languages apart.
+ZSTD = {"window_log": 18, "chain_log": 16, "hash_log": 17, "search_log": 3, "min_match": 4, "target_length": 16}
 #: Below this share of the second smallest size, a margin is narrow.
-MIN_MARGIN = 0.005
+MIN_MARGIN = 0.003
 UNKNOWN = "und"
 
 
@@ -34,7 +36,7 @@ def remainder(doc_id: Column, by: int) -> Column:
 
 
 def fit(labelled: DataFrame, rows: int = ROWS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
-    """Dictionary content by language, from columns doc_id, lang, text. Ids are ranked first, on the
+    """Dictionary content by language, the most common first, from columns doc_id, lang, text. Ids are ranked first, on the
     small columns only; the chosen rows' texts follow by a join with that bounded set of ids."""
     given = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -42,11 +44,12 @@ def fit(labelled: DataFrame, rows: int = ROWS, chars: int = SAMPLE_CHARS) -> dic
     chosen = given.join(F.broadcast(ranked.select("doc_id").distinct()), "doc_id").select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, chars).alias("text"))
     parts: dict[str, list[bytes]] = {}
     for row in sorted(chosen.collect(), key=lambda r: (r["lang"], r["h"], r["doc_id"], r["text"])):
-        parts.setdefault(row["lang"], []).append(row["text"].encode())
-    return {lang: b"\n".join(found) for lang, found in sorted(parts.items())}
+        parts.setdefault(row["lang"], []).append(row["text"].encode().lower())
+    common = {row["lang"]: row["count"] for row in given.groupBy("lang").count().collect()}
+    return {lang: b"\n".join(parts[lang]) for lang in sorted(parts, key=lambda x: (-common[x], x))}
 
 
-def predict(df: DataFrame, model: dict[str, bytes], text: str = "text", piece: int = PIECE, level: int = LEVEL, min_margin: float = MIN_MARGIN) -> DataFrame:
+def predict(df: DataFrame, model: dict[str, bytes], text: str = "text", piece: int = PIECE, min_margin: float = MIN_MARGIN) -> DataFrame:
     """The rows of df without `text`, with lang_pred, score (margin as a share of the second smallest
     size; 1 where only one language is known) and rejected."""
     names = list(model)
@@ -54,6 +57,7 @@ def predict(df: DataFrame, model: dict[str, bytes], text: str = "text", piece: i
     compressors: list = []
 
     def sizes(data: bytes) -> list[int]:
+        data = data.lower()  # A-Z only, as in the dictionaries
         pieces = [data[i : i + piece] for i in range(0, len(data), piece)]
         return [sum(map(len, map(c.compress, pieces))) for c in compressors]
 
@@ -71,8 +75,9 @@ def predict(df: DataFrame, model: dict[str, bytes], text: str = "text", piece: i
         if not compressors:
             for content in model.values():
                 d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=level)
-                compressors.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False))
+                p = zstandard.ZstdCompressionParameters(**ZSTD, strategy=zstandard.STRATEGY_FAST, write_checksum=False, write_content_size=False, write_dict_id=False)
+                d.precompute_compress(compression_params=p)
+                compressors.append(zstandard.ZstdCompressor(compression_params=p, dict_data=d))
         found = [judge(x) for x in texts]
         return [*rows.columns, *([x[i] for x in found] for i in range(3))]
 
