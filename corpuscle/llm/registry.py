@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from corpuscle.llm import langid, media, oracles, pii, quality, tokens
+from corpuscle.llm import langid, media, oracles, packing, pii, quality, tokens
 
 
 def queries() -> dict:
-    found = [quality.op1_quality_rules, pii.op3_pii, tokens.op4_token_counts, media.op7_media_columns, langid.op8_language_id]
+    found = [quality.op1_quality_rules, pii.op3_pii, tokens.op4_token_counts, media.op7_media_columns, langid.op8_language_id, packing.op10_packing]
     return {f.__name__: f for f in found}
 
 

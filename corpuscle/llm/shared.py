@@ -55,6 +55,14 @@ def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def arrow_schema(ddl: str):
+    """The Arrow schema of a DDL string; on the driver only."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 #: Bytes of text that one step of a Python operator works on at once.
 STEP_BYTES = 4 << 20
 
@@ -64,10 +72,8 @@ def map_texts(df: DataFrame, step, schema: str, text: str = "text", most: int =
     least). rows: an Arrow batch of the other columns; texts: list of bytes (UTF-8), None for null.
     step returns an Arrow batch, or a list of columns in the order of schema."""
     import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    out = to_arrow_schema(StructType.fromDDL(schema))
+    out = arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
