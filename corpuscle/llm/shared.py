@@ -67,14 +67,18 @@ def arrow_schema(ddl: str):
 STEP_BYTES = 4 << 20
 
 
-def map_texts(df: DataFrame, step, schema: str, text: str = "text", most: int = STEP_BYTES) -> DataFrame:
+def map_texts(df: DataFrame, step, schema: str, text: str = "text", most: int = STEP_BYTES, finish=None) -> DataFrame:
     """`step(rows, texts)` over the rows of df, in steps of at most `most` bytes of text (one row at
     least). rows: an Arrow batch of the other columns; texts: list of bytes (UTF-8), None for null.
-    step returns an Arrow batch, or a list of columns in the order of schema."""
+    step returns a list of columns in the order of schema, or None. finish() is called at a partition's
+    end and returns the same. What step and finish keep in their closure is a task's own."""
     import pyarrow as pa
 
     out = arrow_schema(schema)
 
+    def batch_of(columns):
+        return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(columns, out, strict=True)], schema=out)
+
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text)
@@ -82,8 +86,9 @@ def map_texts(df: DataFrame, step, schema: str, text: str = "text", most: int =
             rest = pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at], names=[n for i, n in enumerate(batch.schema.names) if i != at])
             sizes = [0 if x is None else x for x in pa.compute.binary_length(data).to_pylist()]
             for a, b in slices(sizes, most):
-                made = step(rest.slice(a, b - a), data.slice(a, b - a).to_pylist())
-                for x in made if hasattr(made, "__next__") else [made]:
-                    yield x if isinstance(x, pa.RecordBatch) else pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(x, out, strict=True)], schema=out)
+                if (made := step(rest.slice(a, b - a), data.slice(a, b - a).to_pylist())) is not None:
+                    yield batch_of(made)
+        if finish is not None and (made := finish()) is not None:
+            yield batch_of(made)
 
     return df.mapInArrow(run, schema)
