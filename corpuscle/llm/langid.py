@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpuscle.llm.shared import documents, map_texts
 
@@ -36,16 +35,28 @@ def remainder(doc_id: Column, by: int) -> Column:
 
 
 def fit(labelled: DataFrame, rows: int = ROWS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
-    """Dictionary content by language, the most common first, from columns doc_id, lang, text. Ids are ranked first, on the
-    small columns only; the chosen rows' texts follow by a join with that bounded set of ids."""
+    """Dictionary content by language, the most common first, from columns doc_id, lang, text. Ids are chosen first, on the
+    small columns only (the driver sees a few times `rows` of each language); the chosen rows' texts follow
+    by a join with that bounded set of ids."""
     given = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = given.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
-    chosen = given.join(F.broadcast(ranked.select("doc_id").distinct()), "doc_id").select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, chars).alias("text"))
+    common = {row["lang"]: row["count"] for row in given.groupBy("lang").count().collect()}
+    if not common:
+        return {}
+    spark, place, share = labelled.sparkSession, F.shiftrightunsigned(F.xxhash64("doc_id"), 1), 8
+    while True:  # ids whose hash is below a limit that lets a few times as many pass as are wanted
+        limits = spark.createDataFrame([(k, min((1 << 63) - 1, (1 << 63) // n * rows * share)) for k, n in common.items()], "lang string, most long")
+        near = given.select("lang", "doc_id", place.alias("h")).join(F.broadcast(limits), "lang").where("h <= most")
+        ids: dict[str, list[tuple]] = {}
+        for row in near.select("lang", "h", "doc_id").collect():
+            ids.setdefault(row["lang"], []).append((row["h"], row["doc_id"]))
+        if all(len(ids.get(k, ())) >= min(rows, n) for k, n in common.items()):
+            break
+        share *= 16
+    chosen = spark.createDataFrame([(i,) for found in ids.values() for _, i in sorted(found)[:rows]], given.select("doc_id").schema).distinct()
+    chosen = given.join(F.broadcast(chosen), "doc_id").select("lang", place.alias("h"), "doc_id", F.substring("text", 1, chars).alias("text"))
     parts: dict[str, list[bytes]] = {}
     for row in sorted(chosen.collect(), key=lambda r: (r["lang"], r["h"], r["doc_id"], r["text"])):
         parts.setdefault(row["lang"], []).append(row["text"].encode().lower())
-    common = {row["lang"]: row["count"] for row in given.groupBy("lang").count().collect()}
     return {lang: b"\n".join(parts[lang]) for lang in sorted(parts, key=lambda x: (-common[x], x))}
 
 
