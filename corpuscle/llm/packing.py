@@ -17,6 +17,7 @@ are taken in the order of reading; null ids of rows pass through; an empty table
 
 from __future__ import annotations
 
+import functools
 import heapq
 import zlib
 
@@ -31,32 +32,81 @@ END_ID = 1
 QUADRATIC = 1 / 4096
 #: Tokens of a pool, beyond which it is packed.
 POOL = 256 * LENGTH
-#: Words of which a task keeps the ids, in each of two generations.
-CACHE = 200_000
+#: Words of which a Python worker keeps the ids, in each of two generations.
+CACHE = 300_000
 TOKENIZER = "word_bpe_49k.json"
 
 
 class WordIds:
-    """Ids of texts for a tokenizer whose pre-tokens never hold white space, such as the vocabularies
-    that drop it: a text's ids are its words' ids in a row, and the ids of frequent words are kept."""
+    """Ids of texts for a vocabulary whose pre-tokens are letters, single digits or other characters,
+    without regard to case or white space: a text's ids are its words' ids in a row. The ids of frequent
+    words are kept. A word of letters and a comma or full stop after it are two pre-tokens, looked up
+    apart. New words of letters are encoded many at a time, as one text: each of them ends with a token
+    that ends a word."""
 
     def __init__(self, path: str):
         self.tokenizer, self.young, self.old = load(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def __call__(self, text: bytes) -> bytes:
         """The ids of a text, as little-endian unsigned 32-bit integers."""
-        words = text.split()
-        missing = set(words) - self.young.keys()
-        for w in missing & self.old.keys():
-            self.young[w] = self.old[w]
-        if new := list(missing - self.old.keys()):
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            self.young.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
-        ids = b"".join(map(self.young.__getitem__, words))
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
+        # special strings are told apart by case; texts that may hold them keep theirs
+        words = (text if b"<|" in text else text.lower()).split()
+        young, new, two = self.young, [], []
+        for w in set(words):
+            if w not in young and not self._known(w):
+                if w[-1:] in (b",", b".") and w[:-1].decode().isalpha():
+                    two.append(w)
+                    if w[:-1] not in young and not self._known(w[:-1]):
+                        new.append(w[:-1])
+                else:
+                    new.append(w)
+        if new:
+            self._learn(new)
+        for w in two:
+            young[w] = young[w[:-1]] + self._single(w[-1:])
+        ids = b"".join(map(young.__getitem__, words))
+        if len(young) > CACHE:
+            self.old, self.young = young, {}
         return ids
 
+    def _known(self, word: bytes) -> bool:
+        found = self.old.get(word)
+        if found is not None:
+            self.young[word] = found
+        return found is not None
+
+    def _single(self, word: bytes) -> bytes:
+        if word not in self.young:
+            self.young[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return self.young[word]
+
+    def _learn(self, words: list[bytes]) -> None:
+        strings = list(map(bytes.decode, dict.fromkeys(words)))
+        letters = [w for w in strings if w.isalpha()]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == len(letters):
+            data, begin = ids.tobytes(), 0
+            for w, end in zip(letters, (4 * ends).tolist(), strict=True):
+                self.young[w.encode()] = data[begin:end]
+                begin = end
+        else:  # a letter whose lower case is not one letter
+            self._each(letters)
+        self._each([w for w in strings if not w.isalpha()])
+
+    def _each(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.young[w.encode()] = np.array(e.ids, "<u4").tobytes()
+
+
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One for each worker process, whose tasks share what it has kept."""
+    return WordIds(path)
+
 
 def pack_pool(pieces: list[tuple], length: int = LENGTH, quadratic: float = QUADRATIC, last: bool = False):
     """pieces: (size, document, start). Returns sequences, lists of such pieces in order, and the pieces
@@ -114,7 +164,7 @@ def packed(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", le
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, end = WordIds(path), np.array([end_id], "<u4").tobytes()
+        encode, end = word_ids(path), np.array([end_id], "<u4").tobytes()
         made = TaskContext.get().partitionId() << 33
         docs: dict[int, tuple] = {}  # number -> key, ids of those that a piece still needs
         left: list[tuple] = []

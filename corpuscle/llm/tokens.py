@@ -14,6 +14,9 @@ gets one row; other columns pass through.
 
 from __future__ import annotations
 
+import functools
+import os
+
 from pyspark.sql import DataFrame
 
 from corpuscle.llm.shared import documents, map_texts
@@ -25,9 +28,10 @@ LIMIT = 512
 TOKENIZER = "byte_bpe_50k.json"
 
 
+@functools.cache
 def load(path: str):
-    """The tokenizer of a file, on one thread: executors have a task for each core already."""
-    import os
+    """The tokenizer of a file, one for each process, on one thread: executors have a task for each core
+    already."""
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -89,19 +93,17 @@ def _same_place(left, right, skip: int) -> int:
 def with_counts(df: DataFrame, path: str, text: str = "text", limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """The rows of df without `text`, with n_bytes, n_tokens, over_limit."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text)
-    made: list = []
 
     def step(rows, texts):
-        if not made:
-            made.append(load(path))
+        tokenizer = load(path)
         strings = ["" if x is None else x.decode() for x in texts]
         short = [i for i, x in enumerate(strings) if len(x) <= chunk]
         counts = [0] * len(strings)
-        for i, e in zip(short, made[0].encode_batch_fast([strings[i] for i in short], add_special_tokens=False), strict=True):
+        for i, e in zip(short, tokenizer.encode_batch_fast([strings[i] for i in short], add_special_tokens=False), strict=True):
             counts[i] = len(e)
         for i, x in enumerate(strings):
             if len(x) > chunk:
-                counts[i] = count_long(x, made[0], chunk, overlap)
+                counts[i] = count_long(x, tokenizer, chunk, overlap)
         return [*rows.columns, [len(x or b"") for x in texts], counts, [n > limit for n in counts]]
 
     return map_texts(df, step, f"{fields + ', ' if fields else ''}n_bytes long, n_tokens long, over_limit boolean", text, most=1 << 20)
