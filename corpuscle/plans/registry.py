@@ -1,11 +1,379 @@
-"""Queries over the driver's tables and their DuckDB SQL."""
+"""Queries over the driver's tables, one for each operator or variant; SQL twins are in `oracles`."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import inf
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuscle.functions import text as T
+from corpuscle.operators import bayes, cluster, evaluate, fuzzy, hmm, index, lsi, postings, search, triples, vsm
+from corpuscle.plans import oracles
+
+SEARCHES = {"q1": "the and of", "q2": "hewh onthe erly", "q3": "de la que", "q4": "licensed under the license"}
+FUZZY = [("lic", 1), ("vers", 1), ("releas", 2), ("the", 0)]
+CODED = ("the", "de", "hewh")
+VITERBI_BUCKETS = (10.0, 30.0, 60.0, 120.0)
+LSI_TERMS = 50
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+def word_freq(spark, d):
+    return index.word_frequencies(_docs(spark, d))
+
+
+def df_idf(spark, d):
+    base = index.measured(_docs(spark, d))
+    n = index.stats(base).n
+    return index.document_frequencies(index.term_frequencies(base)).withColumn("idf", F.round(index.idf(F.col("df"), n), 6))
+
+
+def doc_lengths(spark, d):
+    return index.measured(_docs(spark, d)).select("doc_id", "dl")
+
+
+def doc_len_stats(spark, d):
+    at = index.stats(index.measured(_docs(spark, d)))
+    return spark.createDataFrame([(at.n, round(at.avdl, 6))], "n long, avdl double")
+
+
+def vocabulary(spark, d):
+    return index.dictionary(index.tokens(index.measured(_docs(spark, d))))
+
+
+def stop_word_filter(spark, d):
+    return index.measured(_docs(spark, d), T.STOP_WORDS).select("doc_id", "dl")
+
+
+def boolean_and(spark, d):
+    return search.boolean_and(_docs(spark, d), SEARCHES)
+
+
+def boolean_and_titles(spark, d):
+    """The three first hits of each query by id, with the document's first characters."""
+    from pyspark.sql.window import Window
+
+    docs = _docs(spark, d)
+    hits = search.boolean_and(docs, SEARCHES).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("doc_id")).cast("long")).where("rank <= 3")
+    return docs.select("doc_id", F.substring("text", 1, 40).alias("head")).join(F.broadcast(hits), "doc_id").select("query", "rank", "doc_id", "head")
+
+
+def bm25_postings(spark, d):
+    return _rounded(index.postings(_docs(spark, d)), "score")
+
+
+def _topk(kind: str, k: float = 1.75, stop: tuple[str, ...] = ()) -> Query:
+    return lambda spark, d: search.top(search.search(_docs(spark, d), SEARCHES, kind, k=k, stop=stop), 10)
+
+
+def _lists(spark, d: str, *terms: str) -> list[DataFrame]:
+    tf = index.term_frequencies(index.measured(_docs(spark, d)), list(terms))
+    return [tf.where(F.col("term") == t).select("doc_id", F.col("tf").alias("score")) for t in terms]
+
+
+def _intersect(strategy: str) -> Query:
+    return lambda spark, d: postings.intersect(*_lists(spark, d, "the", "hewh"), strategy)
+
+
+def posting_intersect_3way(spark, d):
+    return postings.intersect_all(_lists(spark, d, "the", "of", "hewh"))
+
+
+def posting_union(spark, d):
+    return postings.union(_lists(spark, d, "the", "of", "de"))
+
+
+def posting_semi_chain(spark, d):
+    """Occurrences of the first word in documents that hold the other too: repeats stay."""
+    occurrences = index.tokens(index.measured(_docs(spark, d)))
+    return postings.intersect_ids([occurrences.where(F.col("term") == t).select("doc_id") for t in ("hewh", "the")]).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def counted_union(spark, d):
+    occurrences = index.tokens(index.measured(_docs(spark, d)))
+    return postings.counted_union([occurrences.where(F.col("term") == t).select(F.col("doc_id").alias("word_id")) for t in ("the", "de", "hewh")])
+
+
+def posting_strings(spark, d):
+    """The list of each document's most frequent words as a string, in the form of a printed posting list."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    lists = part.groupBy("p_name").agg(F.sort_array(F.collect_list(F.struct(F.col("p_partkey").alias("doc_id"), F.col("p_size").alias("score")))).alias("l"))
+    return lists.select("p_name", T.posting_string(F.col("l")).alias("postings"))
+
+
+def _passages(spark, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/benchmark.parquet").where("text IS NOT NULL")
+
+
+def qrels_build(spark, d):
+    """query (a benchmark passage's number) and the documents that hold the whole passage. A first word
+    of the passage narrows the documents before texts are held against it."""
+    passages = F.broadcast(_passages(spark, d).select(F.col("item_id").cast("string").alias("query"), F.col("text").alias("passage"), F.lower(F.get(T.words(F.col("text")), F.lit(1))).alias("word")))
+    docs = _docs(spark, d).select("doc_id", "text", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("word"))
+    return docs.join(passages, "word").where(F.contains("text", "passage")).select("query", "doc_id")
+
+
+def _benchmark(spark, d: str) -> DataFrame:
+    """Measures of each query that has relevant documents: its words are a passage's second to fourth."""
+    qrels = qrels_build(spark, d).persist()
+    asked = {r["query"]: " ".join(r["w"]) for r in _passages(spark, d).select(F.col("item_id").cast("string").alias("query"), F.slice(T.words(F.col("text")), 2, 3).alias("w")).join(qrels, "query", "left_semi").collect()}
+    return evaluate.evaluate(search.search(_docs(spark, d), asked), qrels)
+
+
+def precision_at_3(spark, d):
+    return _rounded(_benchmark(spark, d), "p_at_k").select("query", "p_at_k")
+
+
+def precision_at_r(spark, d):
+    return _rounded(_benchmark(spark, d), "p_at_r").select("query", "p_at_r")
+
+
+def average_precision(spark, d):
+    return _rounded(_benchmark(spark, d), "ap").select("query", "ap")
+
+
+def mean_measures(spark, d):
+    return _rounded(evaluate.means(_benchmark(spark, d)), "mp_at_k", "mp_at_r", "map")
+
+
+def _vsm(norm: str) -> Query:
+    return lambda spark, d: _rounded(vsm.normalised(index.postings(_docs(spark, d), "bm25"), norm), "v")
+
+
+def vsm_query_topk(spark, d):
+    asked, _ = search.query_terms(spark, SEARCHES)
+    return search.top(vsm.query(vsm.normalised(index.postings(_docs(spark, d), "tfidf"), "col_l2"), asked), 10)
+
+
+def _parts(spark, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("word_id"), F.col("p_name").alias("name"), F.col("p_size").alias("score"), F.col("p_brand").alias("description"))
+
+
+def _vocabulary_entities(spark, d: str) -> DataFrame:
+    """Words as entities: score is the frequency, description the first language."""
+    docs = _docs(spark, d)
+    words = docs.select("lang", F.explode(T.terms(F.col("text"))).alias("name")).groupBy("name").agg(F.count("*").alias("score"), F.min("lang").alias("description"))
+    return words.join(vocabulary(spark, d).withColumnsRenamed({"term": "name", "term_id": "word_id"}), "name").select("word_id", "name", "score", "description")
+
+
+def _asked(spark) -> DataFrame:
+    return spark.createDataFrame(FUZZY, "x string, delta int")
+
+
+def qgram_index(spark, d):
+    return fuzzy.qgram_index(_parts(spark, d)).groupBy("qgram", "word_id").agg(F.count("*").alias("n"))
+
+
+def qgram_candidates(spark, d):
+    return fuzzy.candidates(fuzzy.qgram_index(_vocabulary_entities(spark, d)), _asked(spark)).groupBy("x", "cnt").agg(F.count("*").alias("n"))
+
+
+def prefix_edit_distance(spark, d):
+    asked = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(delta).alias("delta")) for x, delta in (("small rig", 2), ("red", 0), ("larg", 1), ("blue", 2)))))
+    ped = T.prefix_edit_distance(T.normal(F.col("a.x")), T.normal(F.col("name")), F.col("a.delta"))
+    return _parts(spark, d).select("word_id", "name", asked.alias("a")).select("a.x", "word_id", ped.cast("long").alias("ped"))
+
+
+def fuzzy_match(spark, d):
+    return fuzzy.matches(_vocabulary_entities(spark, d), _asked(spark)).withColumn("ped", F.col("ped").cast("long"))
+
+
+def fuzzy_counts(spark, d):
+    """Distances worked out and matches found, for each query."""
+    seen = fuzzy.checked(_vocabulary_entities(spark, d), _asked(spark))
+    return seen.groupBy("x").agg(F.count("*").alias("n_ped"), F.count(F.when(F.col("ped") <= F.col("delta"), 1)).alias("n_found"))
+
+
+def fuzzy_top(spark, d):
+    """The five best matches of each query."""
+    from pyspark.sql.window import Window
+
+    found = fuzzy.matches(_parts(spark, d), spark.createDataFrame([("smal rin",), ("red wid",)], "x string"))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("x").orderBy(*fuzzy.rank_order())).cast("long")).where("rank <= 5").select("x", "rank", "word_id", "name", F.col("ped").cast("long").alias("ped"))
+
+
+def _labelled(spark, d: str) -> DataFrame:
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", F.col("quality").alias("class"))
+    return _docs(spark, d).select("doc_id", "text").join(labels, "doc_id")
+
+
+def nb_prior(spark, d):
+    return _rounded(bayes.priors(_labelled(spark, d)), "p_c")
+
+
+def nb_likelihood(spark, d):
+    return bayes.likelihood(*bayes.train(_labelled(spark, d))).withColumn("p_wc", F.round("p_wc", 9))
+
+
+def nb_predict(spark, d):
+    return bayes.predict(_docs(spark, d), *bayes.train(_labelled(spark, d)))
+
+
+def nb_predict_prior(spark, d):
+    labelled = _labelled(spark, d)
+    prior = {r["class"]: r["p_c"] for r in bayes.priors(labelled).collect()}
+    return bayes.predict(_docs(spark, d), *bayes.train(labelled), prior=prior)
+
+
+def nb_metrics(spark, d):
+    labelled = _labelled(spark, d)
+    classes, model = bayes.train(labelled)
+    return _rounded(bayes.evaluate(bayes.predict(labelled, classes, model), labelled, classes), "precision", "recall", "f1")
+
+
+def nb_macro_f1(spark, d):
+    labelled = _labelled(spark, d)
+    classes, model = bayes.train(labelled)
+    return bayes.evaluate(bayes.predict(labelled, classes, model), labelled, classes).agg(F.round(F.avg("f1"), 6).alias("macro_f1"))
+
+
+def nb_top_words(spark, d):
+    return bayes.top_words(*bayes.train(_labelled(spark, d))).withColumn("p_wc", F.round("p_wc", 9))
+
+
+def _triples(spark, d: str) -> DataFrame:
+    table = {t: spark.read.parquet(f"{d}/{t}.parquet") for t in ("customer", "nation", "region", "orders")}
+    name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    c, n, r, o = table["customer"], table["nation"], table["region"], table["orders"]
+    rows = [
+        (c, name("C", "c_custkey"), "nation", name("N", "c_nationkey")), (c, name("C", "c_custkey"), "segment", F.col("c_mktsegment")),
+        (n, name("N", "n_nationkey"), "region", name("R", "n_regionkey")), (r, name("R", "r_regionkey"), "name", F.col("r_name")),
+        (o, name("O", "o_orderkey"), "placed by", name("C", "o_custkey")), (o, name("O", "o_orderkey"), "status", F.col("o_orderstatus")), (o, name("O", "o_orderkey"), "priority", F.col("o_orderpriority")),
+    ]
+    parts = [t.select(s.alias("subject"), F.lit(p).alias("predicate"), x.alias("object")) for t, s, p, x in rows]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _graph(query: str) -> Query:
+    return lambda spark, d: triples.match(_triples(spark, d), query)
+
+
+def sparql_limit(spark, d):
+    found = triples.match(_triples(spark, d), 'SELECT ?c ?n WHERE { ?c "segment" "MACHINERY" . ?c "nation" ?n }')
+    return found.orderBy("c").limit(10)
+
+
+def sparql_sql_text(spark, d):
+    """A pattern through its SQL text on a view."""
+    _triples(spark, d).createOrReplaceTempView("graph_triples")
+    return spark.sql(triples.to_sql('SELECT ?o WHERE { ?o "placed by" ?c . ?c "segment" "BUILDING" . ?o "status" "P" }', "graph_triples"))
+
+
+def _tagged(spark, d: str) -> DataFrame:
+    bucket = F.lit(0)
+    for b in VITERBI_BUCKETS:
+        bucket = bucket + (F.col("value") >= b).cast("int")
+    events = spark.read.parquet(f"{d}/events.parquet")
+    return events.select(F.col("user_id").alias("sent_id"), F.col("event_id").alias("pos"), F.concat(F.lit("w"), bucket.cast("string")).alias("word"), F.col("event_type").alias("tag"))
+
+
+def hmm_transitions(spark, d):
+    return hmm.transitions(_tagged(spark, d), "sent_id", ["pos"]).withColumn("p", F.round("p", 9))
+
+
+def hmm_emissions(spark, d):
+    return hmm.emissions(_tagged(spark, d)).withColumn("p", F.round("p", 9))
+
+
+def viterbi(spark, d):
+    tagged = _tagged(spark, d)
+    model = hmm.model(hmm.transitions(tagged, "sent_id", ["pos"]), hmm.emissions(tagged))
+    found = hmm.sequences(tagged, "sent_id", ["pos"], "word").withColumn("v", hmm.viterbi_udf(model)(F.col("words")))
+    return found.select("sent_id", F.round("v.lp", 6).alias("lp"), F.concat_ws(" ", "v.tags").alias("tags"))
+
+
+def tag_runs(spark, d):
+    from pyspark.sql.window import Window
+
+    tagged = _tagged(spark, d).withColumn("pos", F.row_number().over(Window.partitionBy("sent_id").orderBy("pos")).cast("long"))
+    return hmm.runs(tagged, "purchase")
+
+
+def _vectors(spark, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").alias("v"), F.col("label").alias("cluster"))
+
+
+def kmeans_assign(spark, d):
+    vectors = _vectors(spark, d)
+    return cluster.assign(vectors.drop("cluster"), cluster.collected(cluster.means(vectors))).select("vec_id", "cluster")
+
+
+def kmeans_step(spark, d):
+    vectors = _vectors(spark, d)
+    return _rounded(cluster.means(cluster.assign(vectors.drop("cluster"), cluster.collected(cluster.means(vectors)))), "x")
+
+
+def rss(spark, d):
+    vectors = _vectors(spark, d)
+    return _rounded(cluster.rss(vectors, cluster.collected(cluster.means(vectors))), "rss")
+
+
+def lsi_scores(spark, d):
+    """Scores of the documents for the first query word in the space of ten concepts over the most frequent
+    terms."""
+    docs = _docs(spark, d)
+    frequent = [r["term"] for r in index.document_frequencies(index.term_frequencies(index.measured(docs))).orderBy(F.desc("df"), "term").limit(LSI_TERMS).collect()]
+    columns = lsi.dense_columns(index.postings(docs, "tf", only=frequent), frequent, docs)
+    _, u = lsi.concepts(lsi.gram(columns, len(frequent)), 10)
+    return _rounded(lsi.scores(columns, [1.0, *[0.0] * (len(frequent) - 1)], lsi.expansion(u)), "score")
+
+
+def gap_encoding(spark, d):
+    return postings.gaps(index.term_frequencies(index.measured(_docs(spark, d))))
+
+
+def code_bits(spark, d):
+    """Bits of each term's list in four codes, and the entropy bound of its gap distribution."""
+    docs = _docs(spark, d)
+    n = float(docs.count())
+    rows = postings.gaps(index.term_frequencies(index.measured(docs))).withColumn("gap", F.col("gap") + F.when(F.col("gap") == 0, 1).otherwise(0))
+    freq = rows.groupBy("term").agg(F.count("*").alias("df"), *(F.sum(f(F.col("gap"))).alias(f.__name__) for f in (T.gamma_bits, T.delta_bits, T.vbyte_bits)))
+    golomb = rows.join(rows.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("term").agg(F.sum(T.golomb_bits(F.col("gap"), F.col("df") / n)).alias("golomb_bits"))
+    return freq.join(golomb, "term")
+
+
+def term_entropy(spark, d):
+    """The entropy of the distribution of words, in bits."""
+    freq = index.word_frequencies(_docs(spark, d))
+    total = freq.agg(F.sum("freq").cast("double").alias("n")).first()["n"] or 1.0
+    p = F.col("freq") / total
+    return freq.agg(F.round(-F.sum(p * F.log2(p)), 6).alias("entropy"))
+
+
+GRAPHS = {
+    "sparql_bgp2": 'SELECT ?c WHERE { ?c "segment" "BUILDING" . ?c "nation" "N3" }',
+    "sparql_bgp4": 'SELECT ?o ?c WHERE { ?o "priority" "1-URGENT" . ?o "status" "F" . ?o "placed by" ?c . ?c "nation" "N3" }',
+    "sparql_chain": 'SELECT ?n ?o WHERE { ?o "placed by" ?c . ?c "nation" ?n . ?n "region" ?r . ?r "name" "ASIA" . ?o "priority" "2-HIGH" }',
+    "sparql_predicate": 'SELECT ?s ?p WHERE { ?s ?p "N3" }',
+}
+
+
+def queries() -> dict[str, Query]:
+    plain = [
+        word_freq, df_idf, doc_lengths, doc_len_stats, vocabulary, stop_word_filter, boolean_and, boolean_and_titles, bm25_postings, posting_intersect_3way, posting_union, posting_semi_chain,
+        counted_union, posting_strings, qrels_build, precision_at_3, precision_at_r, average_precision, mean_measures, vsm_query_topk, qgram_index, qgram_candidates, prefix_edit_distance,
+        fuzzy_match, fuzzy_counts, fuzzy_top, nb_prior, nb_likelihood, nb_predict, nb_predict_prior, nb_metrics, nb_macro_f1, nb_top_words, sparql_limit, sparql_sql_text, hmm_transitions, hmm_emissions, viterbi, tag_runs,
+        kmeans_assign, kmeans_step, rss, lsi_scores, gap_encoding, code_bits, term_entropy,
+    ]
+    out: dict[str, Query] = {f.__name__: f for f in plain}
+    out |= {"bm25_topk": _topk("bm25"), "bm25_k_inf": _topk("bm25", inf), "bm25_no_idf": _topk("bm25_no_idf"), "bm25_stopwords": _topk("bm25", stop=T.STOP_WORDS), "tfidf_topk": _topk("tfidf"), "tf_topk": _topk("tf")}
+    out |= {f"posting_intersect_{s}": _intersect(s) for s in postings.STRATEGIES}
+    out |= {f"vsm_{n}": _vsm(n) for n in vsm.NORMS}
+    return out | {name: _graph(q) for name, q in GRAPHS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.sql(SEARCHES, FUZZY, VITERBI_BUCKETS)
