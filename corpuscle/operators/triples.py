@@ -106,6 +106,7 @@ def match(triples: DataFrame, query: str | Pattern) -> DataFrame:
     columns; triples join on all variables they share, the most constant first, connected ones before
     others, so that no product arises where the pattern is connected."""
     pattern = parse(query) if isinstance(query, str) else query
+    names: dict[str, str] = {}  # columns do not tell ?f from ?F
     parts = []
     for triple in pattern.triples:
         part, columns = triples, {}
@@ -117,7 +118,7 @@ def match(triples: DataFrame, query: str | Pattern) -> DataFrame:
             else:
                 columns[v] = c
         constants = sum(kind == "text" for kind, _ in triple)
-        parts.append((constants, part.select(*(F.col(c).alias(f"v_{v}") for v, c in columns.items()))))
+        parts.append((constants, part.select(*(F.col(c).alias(names.setdefault(v, f"v{len(names)}")) for v, c in columns.items()))))
     parts.sort(key=lambda x: -x[0])
     out = parts.pop(0)[1]
     while parts:
@@ -125,5 +126,5 @@ def match(triples: DataFrame, query: str | Pattern) -> DataFrame:
         part = parts.pop(at)[1]
         shared = [c for c in part.columns if c in out.columns]
         out = out.join(part, shared) if shared else out.crossJoin(part)
-    out = out.select(*(F.col(f"v_{v}").alias(v) for v in pattern.select))
+    out = out.select(*(F.col(names[v]).alias(v) for v in pattern.select))
     return out.limit(pattern.limit) if pattern.limit is not None else out
