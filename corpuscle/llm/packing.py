@@ -24,7 +24,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from corpuscle.llm.shared import arrow_schema, documents
+from corpuscle.llm.shared import arrow_schema, bounded_batches, documents
 from corpuscle.llm.tokens import load
 
 LENGTH = 2048
@@ -33,7 +33,7 @@ QUADRATIC = 1 / 4096
 #: Tokens of a pool, beyond which it is packed.
 POOL = 256 * LENGTH
 #: Words of which a Python worker keeps the ids, in each of two generations.
-CACHE = 300_000
+CACHE = 150_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -159,6 +159,7 @@ def packed(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", le
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     out = arrow_schema(schema)
+    bounded_batches(df.sparkSession)
 
     def run(batches):
         import pyarrow as pa

@@ -73,8 +73,17 @@ def arrow_schema(ddl: str):
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-#: Bytes of text that one step of a Python operator works on at once.
-STEP_BYTES = 4 << 20
+#: Bytes of text that one step of a Python operator works on at once, and of an Arrow batch (one row at least).
+STEP_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts are cut by bytes, not by rows alone: rows are of any length, and an executor
+    holds a batch several times over, in and outside its heap. A session that has set its own bound keeps it."""
+    if spark.sparkContext.getConf().get(BATCH) is None:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
 def map_texts(df: DataFrame, step, schema: str, text: str = "text", most: int = STEP_BYTES, finish=None) -> DataFrame:
@@ -85,6 +94,7 @@ def map_texts(df: DataFrame, step, schema: str, text: str = "text", most: int =
     import pyarrow as pa
 
     out = arrow_schema(schema)
+    bounded_batches(df.sparkSession)
 
     def batch_of(columns):
         return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(columns, out, strict=True)], schema=out)
