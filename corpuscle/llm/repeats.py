@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.shared import arrow_schema, documents, map_texts, release, stored
+from corpuscle.llm.shared import arrow_schema, bounded_batches, documents, map_texts, release, stored
 
 LENGTH = 200
 GRAM = 40
@@ -38,7 +38,7 @@ LOCAL = 2048
 #: Windows of a text that are worked on at once.
 BLOCK = 1 << 20
 #: Bytes of contexts that are compared at once.
-COMPARED = 4 << 20
+COMPARED = 1 << 19
 KEY = ["k1", "k2"]
 U = np.uint64
 
@@ -173,8 +173,9 @@ def windows(data: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     of = np.repeat(np.arange(len(data)), counts)
     start = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
     at = start + (np.cumsum(sizes) - sizes)[of]
-    joined, (one, two) = _bytes(b"".join(data)), (digests(s, int(sizes.sum()) + 1) for s in (1, 2))
-    return of, start, one.of(one.sums(joined), at, length), two.of(two.sums(joined), at, length)
+    joined = _bytes(b"".join(data))
+    one, two = (d.of(d.sums(joined), at, length) for d in (digests(s, len(joined) + 1) for s in (1, 2)))
+    return of, start, one, two
 
 
 def shared_windows(run: np.ndarray, ahead: np.ndarray, data: list[bytes]) -> list[list[tuple[int, int]]]:
@@ -202,6 +203,7 @@ def _compared(cuts: DataFrame) -> DataFrame:
     """run, context, ranges: by comparison of all contexts of a run within a task."""
     schema = "run long, context long, ranges array<struct<low: long, high: long>>"
     out = arrow_schema(schema)
+    bounded_batches(cuts.sparkSession)
     cuts = cuts.repartition("run").sortWithinPartitions("run")
 
     def compare(rows: list[tuple]):
