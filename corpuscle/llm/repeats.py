@@ -117,24 +117,25 @@ def _keyed(df: DataFrame, text: str) -> DataFrame:
 
 
 def _anchor_rows(texts: DataFrame) -> DataFrame:
-    """texts: k1, k2, text. Rows run (the anchor's digest) and x (a digest of text and place)."""
+    """texts: k1, k2, text. Rows run (the anchor's digest), k1, x (a digest of text and place)."""
 
     def step(rows, data):
         found = [anchors(_bytes(x)) for x in data]
         n = [len(f[0]) for f in found]
-        keys = [np.repeat(c.to_numpy(zero_copy_only=False), n) for c in rows.columns]
+        k1, k2 = (np.repeat(c.to_numpy(zero_copy_only=False), n) for c in rows.columns)
         run, at = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-        return [run.view(np.int64), *keys, at]
+        x = mixed(k1.view(np.uint64) ^ mixed(k2.view(np.uint64) ^ mixed(at.astype(np.uint64))))
+        return [run.view(np.int64), k1, x.view(np.int64)]
 
-    return map_texts(texts, step, "run long, k1 long, k2 long, place long", most=1 << 20)
+    return map_texts(texts, step, "run long, k1 long, x long", most=1 << 20)
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """k1, k2, runs: of each text the anchor runs that occur at more than one place of different texts or
-    of one text. Copies of a text count once."""
-    x = F.xxhash64("k1", "k2", "place")
-    more = rows.groupBy("run").agg(F.min(x).alias("a"), F.max(x).alias("b")).where("a <> b").select("run")
-    return rows.join(more, "run").groupBy(*KEY).agg(F.collect_set("run").alias("runs"))
+    """k1, runs: of each text (or of more that share k1, which does no harm) the anchor runs that occur at
+    more than one place of different texts or of one text. Copies of a text count once. The runs are stored
+    first, so that the join's two sides are plain shuffles, of which a hot run's partition can be split."""
+    more = stored(rows.groupBy("run").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a <> b").select("run"), "runs")
+    return rows.select("run", "k1").join(more, "run").groupBy("k1").agg(F.collect_set("run").alias("runs"))
 
 
 def _contexts(texts: DataFrame) -> DataFrame:
@@ -253,12 +254,13 @@ def _repeated(texts: DataFrame, local: int) -> DataFrame:
     contexts = stored(_contexts(texts), "contexts")
     copy = F.struct(*(F.col(c) for c in ("k1", "k2", "place", "first", "last")))
     distinct = stored(contexts.groupBy("run", "context").agg(F.count("*").alias("n"), F.min(copy).alias("copy")), "distinct")
-    groups = distinct.groupBy("run").agg(F.count("*").alias("g")).where("g > 1")
+    groups = stored(distinct.groupBy("run").agg(F.count("*").alias("g")).where("g > 1"), "groups")
     open_ = stored(distinct.join(groups, "run").select("run", "context", "copy", "g"), "open")
     ranges = _compared(_cut(texts, open_.where(F.col("g") <= local)))
     if not open_.where(F.col("g") > local).isEmpty():
         ranges = ranges.unionByName(_aggregated(stored(_cut(texts, open_.where(F.col("g") > local)), "cuts")))
-    decided = distinct.select("run", "context", (F.col("n") > 1).alias("all")).join(ranges, ["run", "context"], "left").where("all OR ranges IS NOT NULL")
+    decided = distinct.select("run", "context", (F.col("n") > 1).alias("all")).join(stored(ranges, "ranges"), ["run", "context"], "left")
+    decided = stored(decided.where("all OR ranges IS NOT NULL"), "decided")
     covered = contexts.join(decided, ["run", "context"])
     whole = F.array(F.struct(F.col("first").alias("low"), (F.col("last") + LENGTH).alias("high")))
     parts = F.transform("ranges", lambda r: F.struct((F.col("place") - r["high"]).alias("low"), (F.col("place") - r["low"] + LENGTH).alias("high")))
@@ -296,13 +298,14 @@ def without_repeats(df: DataFrame, text: str = "text", local: int = LOCAL, with_
     keyed = _keyed(df, text)
     texts = keyed.where(long).select(*KEY, F.col(text).alias("text"))
     rows = stored(_anchor_rows(texts), "anchors")
-    candidates = stored(_candidates(rows), "candidates")
+    keys = stored(texts.groupBy(*KEY).count(), "keys")
+    candidates = stored(_candidates(rows).join(keys.select(*KEY), "k1"), "candidates")
     release(rows)
     held = stored(texts.dropDuplicates(KEY).join(candidates, KEY), "texts")
     release(candidates)
     results = stored(_removed(held, stored(_repeated(held, local), "spans"), with_text), "results")
     release(held)
-    copies = texts.groupBy(*KEY).count().where("count > 1").select(*KEY, F.lit(True).alias("copied"))
+    copies = keys.where("count > 1").select(*KEY, F.lit(True).alias("copied"))
     given = F.coalesce(F.col(text), F.lit(""))
     base = keyed.withColumn("n_bytes", F.octet_length(given).cast("long")).withColumn("sha", F.sha2(given, 256))
     if with_text:

@@ -32,21 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: what is computed once is
-    read many times, its lineage is cut, and any executor can be lost meanwhile."""
+    read many times, its lineage is cut, and any executor can be lost meanwhile. The driver then forgets
+    the shuffles that led to it, whose files would stay until it collects its garbage by chance."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpuscle/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(df: DataFrame) -> None:
-    """Delete the folder that `stored` made for df, which nothing reads any more, and let the driver
-    forget finished shuffles, whose files would otherwise stay until it collects its garbage by chance."""
+    """Delete the folder that `stored` made for df, which nothing reads any more."""
     jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     for file in df.inputFiles()[:1]:
         folder = jvm.org.apache.hadoop.fs.Path(file).getParent().getParent()
         folder.getFileSystem(conf).delete(folder, True)
-    jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
