@@ -239,9 +239,10 @@ def _aggregated(cuts: DataFrame) -> DataFrame:
         run, context, ahead = (c.to_numpy(zero_copy_only=False)[of] for c in rows.columns)
         return [run, context, ahead - start, one.view(np.int64), two.view(np.int64)]
 
-    rows = map_texts(cuts, step, "run long, context long, distance long, w1 long, w2 long", "bytes", most=1 << 20)
+    # dealt out by the context, so that a hot run's windows are made in all tasks alike
+    rows = map_texts(cuts.repartition("run", "context"), step, "run long, context long, distance long, w1 long, w2 long", "bytes", most=1 << 20)
     key = ["run", "distance", "w1", "w2"]
-    repeated = rows.groupBy(*key).count().where("count > 1").drop("count")
+    repeated = stored(rows.groupBy(*key).count().where("count > 1").drop("count"), "windows")
     hit = rows.join(repeated, key).groupBy("run", "context").agg(F.sort_array(F.collect_set("distance")).alias("d"))
     # the ends of runs of neighbouring distances
     low = F.filter("d", lambda x: ~F.array_contains("d", x - 1))
