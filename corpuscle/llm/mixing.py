@@ -31,7 +31,7 @@ TARGETS = {"high": 0.88, "low": 0.10, "toxic": 0.02}
 MAX_LABELLED = 4000
 BUCKETS = 4096
 SHAPES = 5
-STEPS = 60
+STEPS = 150
 #: Fitted when no domain's total is off by more than this share of all.
 TOLERANCE = 0.0005
 #: Gradient steps between two writes of the rates, which keep the plan of a step short.
@@ -132,6 +132,8 @@ def fit_rates(table: DataFrame, targets: dict[str, float] = TARGETS, total: floa
         rates = rates.withColumn("rate_new", F.greatest(F.lit(0.0), ahead)).withColumn("rate_before", F.col("rate")).withColumn("rate", F.col("rate_new")).drop("rate_new")
         if step % WRITE_EVERY == WRITE_EVERY - 1:
             rates = stored(rates, "rates")
+        if np.linalg.norm(now - wanted) > np.linalg.norm(before - wanted):
+            momentum = 1.0  # it went too far: start gathering speed anew
         before, now = now, np.array(rates.agg(*(F.sum(n * c * F.col("rate")) for c in p)).first())
     return rates.drop("rate_before")
 
