@@ -39,7 +39,8 @@ def _kind(at: int, name: str, pattern: str, valid: str) -> str:
     """Matches of one kind with their places: marks around the matches, then running lengths."""
     return rf"""
 SELECT doc_id, {at} AS k, '{name}' AS kind, start, start + length(p) AS stop FROM (
-  SELECT doc_id, p, o, CAST(coalesce(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  SELECT doc_id, p, o, CAST(coalesce(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+    lag(p) OVER (PARTITION BY doc_id ORDER BY o) AS before, lead(p) OVER (PARTITION BY doc_id ORDER BY o) AS after
   FROM (SELECT doc_id, unnest(s) AS p, generate_subscripts(s, 1) AS o
         FROM (SELECT doc_id, string_split(regexp_replace(t, '({pattern})', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS s FROM d)))
 WHERE o % 2 = 0 AND {valid}"""
@@ -59,12 +60,13 @@ m AS ({" UNION ALL ".join([
     _kind(2, "card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}"),
     _kind(3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
     _kind(4, "iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", _MOD97),
+    _kind(5, "ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "NOT regexp_matches(p, '^(000|666|9)|-00-|-0000$') AND before NOT LIKE '%-' AND after NOT LIKE '-%' AND regexp_matches(lower(right(before, 48)), 'ssn|social security|tax(payer)? id')"),
 ])}),
-a AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone, count(*) FILTER (k = 4) AS n_iban,
+a AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone, count(*) FILTER (k = 4) AS n_iban, count(*) FILTER (k = 5) AS n_ssn,
         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < 4) AS base,
         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans FROM m GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
-  coalesce(n_iban, 0) AS n_iban, CAST(0 AS BIGINT) AS n_ssn, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+  coalesce(n_iban, 0) AS n_iban, coalesce(n_ssn, 0) AS n_ssn, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN a USING (doc_id)
 """
 

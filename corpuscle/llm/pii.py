@@ -88,7 +88,7 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){11}", r"[0-9](?:[\x20-]?[0-9])++", lambda x: F.when(_between(x, 12, 19), luhn(_digits(x))).otherwise(F.lit(False)), 0.7, r"card|visa|master|amex|karte|carte|tarjeta|credit", 0.3),
     Kind("phone", r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: _between(x, 9, 15), 0.7, r"phone|tel|call|fax|mobile|handy|llam", 0.3),
     Kind("iban", r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda x: mod97(x), 0.8, r"iban|account|konto|compte|cuenta|bank", 0.2, False),
-    Kind("ssn", r"[0-9]-[0-9]{2}-[0-9]", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda x: F.lit(True), 0.3, r"ssn|social security|tax(?:payer)? id", 0.5, False),
+    Kind("ssn", r"[0-9]-[0-9]{2}-[0-9]", r"(?<![\w-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\w-])", lambda x: F.lit(True), 0.3, r"ssn|social security|tax(?:payer)? id", 0.5, False),
 )
 
 
