@@ -3,8 +3,9 @@
 A classifier fitted on labelled rows gives each document posteriors over domains (by default those of the
 labels table: toxic; low, if its quality is 0; high). Nonnegative document rates r are then fitted by
 distributed projected gradient: least squares between the expected domain totals sum_d r_d n_d p_dk and
-target_k * total, in the metric of the token counts n_d, from r = 1, with momentum. Every step is one
-aggregate of the small table (id, n, p, r) that yields a total for each domain; texts are read twice,
+target_k * total, in the metric of the token counts n_d, from r = 1, with momentum. In that metric a
+document's rate depends on its posteriors and the steps so far alone, so every step is one aggregate of the
+small table (id, n, p), which yields a total for each domain, and nothing is written between steps; texts are read twice,
 once for the classifier's bounded sample of labelled rows, once for the posteriors.
 
 The classifier is a softmax regression on hashed word presence and a few shape figures, fitted on at most
@@ -23,6 +24,7 @@ import zlib
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corpuscle.llm.shared import documents, map_texts, stored
 
@@ -34,8 +36,6 @@ SHAPES = 5
 STEPS = 150
 #: Fitted when no domain's total is off by more than this share of all.
 TOLERANCE = 0.0005
-#: Gradient steps between two writes of the rates, which keep the plan of a step short.
-WRITE_EVERY = 8
 
 
 def features(data: bytes | None) -> tuple[np.ndarray, list[float], int]:
@@ -119,23 +119,59 @@ def fit_rates(table: DataFrame, targets: dict[str, float] = TARGETS, total: floa
         return table.withColumn("rate", F.lit(1.0))
     total = total or spare * now[0] / targets[names[0]]
     wanted, length = total * np.array([targets[k] for k in names]), 1 / np.linalg.eigvalsh(square)[-1]
-    rates, before, momentum = table.withColumn("rate", F.lit(1.0)).withColumn("rate_before", F.lit(1.0)), now, 1.0
-    for step in range(STEPS):
-        if np.abs(now - wanted).max() <= TOLERANCE * total:
-            break
+    history: list[tuple[float, np.ndarray]] = []
+    before, momentum = now, 1.0
+    while len(history) < STEPS and np.abs(now - wanted).max() > TOLERANCE * total:
         following = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
         push, momentum = (momentum - 1) / following, following
-        off = now + push * (now - before) - wanted
-        ahead = F.col("rate") + push * (F.col("rate") - F.col("rate_before"))
-        for c, x in zip(p, off, strict=True):
-            ahead = ahead - c * float(length * x)
-        rates = rates.withColumn("rate_new", F.greatest(F.lit(0.0), ahead)).withColumn("rate_before", F.col("rate")).withColumn("rate", F.col("rate_new")).drop("rate_new")
-        if step % WRITE_EVERY == WRITE_EVERY - 1:
-            rates = stored(rates, "rates")
+        history.append((push, length * (now + push * (now - before) - wanted)))
+        before, now = now, expected_totals(table, names, history)
         if np.linalg.norm(now - wanted) > np.linalg.norm(before - wanted):
             momentum = 1.0  # it went too far: start gathering speed anew
-        before, now = now, np.array(rates.agg(*(F.sum(n * c * F.col("rate")) for c in p)).first())
-    return rates.drop("rate_before")
+    return with_rates(table, names, history)
+
+
+def rates_after(p: np.ndarray, history: list[tuple[float, np.ndarray]]) -> np.ndarray:
+    """The rates of documents with posteriors p (rows) after the steps of a history: each is a push along
+    the last change and a gradient in the domains, and the projection to rates of 0 and more."""
+    rate = before = np.ones(len(p))
+    for push, gradient in history:
+        rate, before = np.maximum(0, rate + push * (rate - before) - p @ gradient), rate
+    return rate
+
+
+def _posterior_columns(batch, names: list[str]) -> np.ndarray:
+    return np.stack([batch.column(f"p_{k}").to_numpy(zero_copy_only=False) for k in names], axis=1)
+
+
+def expected_totals(table: DataFrame, names: list[str], history: list[tuple[float, np.ndarray]]) -> np.ndarray:
+    """Expected tokens of each domain at the rates of a history: a partial sum from each task. The plan is
+    the same for every step; the history goes with the function."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = np.zeros(len(names))
+        for batch in batches:
+            p = _posterior_columns(batch, names)
+            total += (batch.column("n_tokens").to_numpy(zero_copy_only=False) * rates_after(p, history)) @ p
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=names)
+
+    sums = table.mapInArrow(run, ", ".join(f"`{k}` double" for k in names)).agg(*(F.sum(k) for k in names)).first()
+    return np.array(sums, float)
+
+
+def with_rates(table: DataFrame, names: list[str], history: list[tuple[float, np.ndarray]]) -> DataFrame:
+    """table with `rate`."""
+    schema = StructType([*table.schema.fields, StructField("rate", DoubleType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates_after(_posterior_columns(batch, names), history))], names=[*batch.schema.names, "rate"])
+
+    return table.mapInArrow(run, schema)
 
 
 def copies(key: Column, rate: Column) -> Column:
