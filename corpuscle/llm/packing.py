@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import heapq
 import zlib
+from unicodedata import is_normalized
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,20 +36,23 @@ POOL = 256 * LENGTH
 #: Words of which a Python worker keeps the ids, in each of two generations.
 CACHE = 150_000
 TOKENIZER = "word_bpe_49k.json"
+#: The first letter behind the Latin blocks.
+LATIN = "\u0250"
+#: Byte-level vocabularies spell a byte as the character of its number where that can be seen, else as one
+#: of the characters from 256 on, in order.
+SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in SEEN)}
 
 
 class WordIds:
     """Ids of texts for a vocabulary whose pre-tokens are letters, single digits or other characters,
     without regard to case or white space: a text's ids are its words' ids in a row. The ids of frequent
     words are kept. A word of letters and a comma or full stop after it are two pre-tokens, looked up
-    apart. New words of letters are encoded many at a time, as one text: each of them ends with a token
-    that ends a word."""
+    apart. A new word of lower-case Latin letters is one pre-token that normalization leaves as it is, so it
+    goes to the library's model at once; any other word goes through the whole of the tokenizer."""
 
     def __init__(self, path: str):
         self.tokenizer, self.young, self.old = load(path), {}, {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def __call__(self, text: bytes) -> bytes:
         """The ids of a text, as little-endian unsigned 32-bit integers."""
@@ -84,18 +88,15 @@ class WordIds:
         return self.young[word]
 
     def _learn(self, words: list[bytes]) -> None:
-        strings = list(map(bytes.decode, dict.fromkeys(words)))
-        letters = [w for w in strings if w.isalpha()]
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) == len(letters):
-            data, begin = ids.tobytes(), 0
-            for w, end in zip(letters, (4 * ends).tolist(), strict=True):
-                self.young[w.encode()] = data[begin:end]
-                begin = end
-        else:  # a letter whose lower case is not one letter
-            self._each(letters)
-        self._each([w for w in strings if not w.isalpha()])
+        tokenize, rest = self.tokenizer.model.tokenize, []
+        for w in words:
+            text = w.decode()
+            if text.isalpha() and (text.isascii() or max(text) < LATIN and text == text.lower() and is_normalized("NFC", text)):
+                found = tokenize(text if text.isascii() else w.decode("latin-1").translate(BYTES))
+                self.young[w] = np.array([x.id for x in found], "<u4").tobytes()
+            else:
+                rest.append(text)
+        self._each(rest)
 
     def _each(self, words: list[str]) -> None:
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
