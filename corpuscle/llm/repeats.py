@@ -30,11 +30,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.shared import arrow_schema, bounded_batches, documents, map_texts, release, stored
+from corpuscle.llm.shared import arrow_schema, bounded_batches, documents, map_texts, release, slices, stored
 
 LENGTH = 200
 GRAM = 40
-LOCAL = 2048
+#: Contexts of a run that meet in one task, at most: some 6 MB of bytes and 100 MB of digests of their windows.
+LOCAL = 16_384
 #: Windows of a text that are worked on at once.
 BLOCK = 1 << 20
 #: Bytes of contexts that are compared at once.
@@ -169,14 +170,15 @@ def _cut(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def windows(data: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """All windows of some contexts: number of the context, start in it, two digests."""
-    sizes = np.array([len(x) for x in data], np.int64)
-    counts = np.maximum(sizes - length + 1, 0)
-    of = np.repeat(np.arange(len(data)), counts)
-    start = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = start + (np.cumsum(sizes) - sizes)[of]
-    joined = _bytes(b"".join(data))
-    one, two = (d.of(d.sums(joined), at, length) for d in (digests(s, len(joined) + 1) for s in (1, 2)))
-    return of, start, one, two
+    parts = []
+    for a, b in slices(list(map(len, data)), COMPARED):
+        sizes = np.array([len(x) for x in data[a:b]], np.int64)
+        counts = np.maximum(sizes - length + 1, 0)
+        of = np.repeat(np.arange(b - a), counts)
+        start = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+        at, joined = start + (np.cumsum(sizes) - sizes)[of], _bytes(b"".join(data[a:b]))
+        parts.append((of + a, start, *(d.of(d.sums(joined), at, length) for d in (digests(s, len(joined) + 1) for s in (1, 2)))))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else tuple(np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
 
 
 def shared_windows(run: np.ndarray, ahead: np.ndarray, data: list[bytes]) -> list[list[tuple[int, int]]]:
