@@ -9,8 +9,8 @@ has at most 65,536 contexts by 256 bytes, whatever the corpus; that is the prove
 broadcast. A document's code length is the sum over its bytes and an end byte 0.
 
 Beside it, the word counts of the whole training corpus give each document's add-one unigram score. The
-TOP most frequent words go to every task; a document's other words are joined with the whole vocabulary
-by a shuffle, in which no training word can be hot, being rarer than TOP others.
+most frequent words, TOP at most, go to every task; a document's other words are joined with the whole
+vocabulary by a shuffle, in which no training word can be hot, being rarer than those.
 
 Defined cases: a null text is empty: one token, the end; a null id counts as a training id; no training
 rows: N = V = 0 and uniform bytes; repeated rows are counted and scored each.
@@ -108,6 +108,18 @@ def escaped(orders: list[np.ndarray]) -> np.ndarray:
     return np.where(left, weight / rest, out)
 
 
+def most_frequent(vocabulary: DataFrame, top: int) -> DataFrame:
+    """At most `top` of the most frequent words, without a sort: counts fall into classes (twenty for a
+    factor of e), whose sizes are all that the driver sees, and whole classes are taken from above."""
+    size = F.floor(F.log(F.col("c")) * 20)
+    taken, least = 0, None
+    for row in sorted(vocabulary.groupBy(size.alias("size")).count().collect(), reverse=True):
+        if taken + row["count"] > top:
+            break
+        taken, least = taken + row["count"], row["size"]
+    return vocabulary.where(size >= least) if least is not None else vocabulary.where(F.lit(False))
+
+
 def score(df: DataFrame, train: Column, top: int = TOP) -> DataFrame:
     """df: text and other columns. train: true for the rows to learn from. Returns the other columns with
     n_tokens, n_known, train_tokens, base_score, score."""
@@ -120,7 +132,7 @@ def score(df: DataFrame, train: Column, top: int = TOP) -> DataFrame:
     found = partial.where("code IS NOT NULL").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     codes = np.array(found["code"], np.int64)
     place, table = trie(codes, np.array(found["n"], np.float64))
-    frequent = vocabulary.orderBy(F.desc("c"), "word").limit(top).toArrow()
+    frequent = most_frequent(vocabulary, top).toArrow()
     model = spark.sparkContext.broadcast((place, table, dict(zip(frequent["word"].to_pylist(), np.log10(np.array(frequent["c"], np.float64) + 1).tolist(), strict=True))))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name != "text")
     state: list = []
