@@ -90,3 +90,9 @@ def dictionary(tokens_: DataFrame) -> DataFrame:
     """term, term_id: 0-based in order of first occurrence (document, then position)."""
     first = tokens_.groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
     return numbered(first.select("term", F.col("first.doc_id").alias("d_"), F.col("first.pos").alias("p_")), [F.col("d_"), F.col("p_")], "term_id").select("term", "term_id")
+
+
+def save(postings_: DataFrame, path: str) -> None:
+    """Writes scored postings as Parquet, ordered by term over ranges of terms, so that a search reads only
+    the row groups whose statistics hold its terms: the stored form of an index that serves many queries."""
+    postings_.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(path)

@@ -50,3 +50,9 @@ def search(docs: DataFrame, queries: dict[str, str], kind: str = "bm25", b: floa
     """query, doc_id, score of every matching document."""
     asked, only = query_terms(docs.sparkSession, queries, stop, case_fold)
     return ranked(index.postings(docs, kind, b, k, stop, only), asked)
+
+
+def search_stored(postings: DataFrame, queries: dict[str, str], stop: tuple[str, ...] = ()) -> DataFrame:
+    """query, doc_id, score from stored postings; the terms reach the scan."""
+    asked, only = query_terms(postings.sparkSession, queries, stop)
+    return ranked(postings.where(F.col("term").isin(*only) if only else F.lit(False)), asked)

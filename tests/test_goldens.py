@@ -71,6 +71,15 @@ def test_ranked_sums_and_union(spark):
     assert [(i, round(s, 6)) for _, i, s in rows(search.top(vsm.query(p, twice)), "rank", "doc_id", "score")] == [(4, 1.6), (3, 1.4), (2, 0.8), (1, 0.4)]
 
 
+def test_stored_index(spark, tmp_path):
+    path = str(tmp_path / "index")
+    index.save(index.postings(docs(spark, MOVIES)), path)
+    found = search.search_stored(spark.read.parquet(path), {"a": "movie short", "b": ""})
+    assert [i for _, i in rows(search.top(found), "rank", "doc_id")] == [4, 3, 2, 1]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term, [movie,short])" in plan, plan
+
+
 def test_evaluation(spark):
     d = docs(spark, ["Movie\tAnimated movie.", "Movie\tNon-animated film.", "Movie\tShort animation.", "Movie\tShort animated short film."])
     qrels = spark.createDataFrame([("animated film", i) for i in (1, 3, 4)] + [("short film", 3), ("short film", 4)], "query string, doc_id long")
