@@ -70,4 +70,17 @@ SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coa
 FROM d LEFT JOIN a USING (doc_id)
 """
 
-SQL = {"op1_quality_rules": OP1, "op3_pii": OP3}
+#: Windows as hexadecimal text, cut from pieces of 512 bytes and what they need behind them.
+OP2 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, c, least(512, length(h) // 2 - 199 - 512 * c) AS size, h[1024 * c + 1:1024 * c + 1422] AS part FROM (SELECT doc_id, h, unnest(range(0, (length(h) // 2 - 199 + 511) // 512)) AS c FROM d)),
+w AS (SELECT doc_id, 512 * c + j AS i, md5(part[2 * j + 1:2 * j + 400]) AS m FROM (SELECT *, unnest(range(0, size)) AS j FROM p)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY m) AS n FROM w) WHERE n > 1),
+b AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT doc_id, min(i) AS low, max(i) + 200 AS high FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM b) GROUP BY doc_id, k),
+g AS (SELECT doc_id, low, high, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS before FROM s),
+k AS (SELECT doc_id, sum(high - low) AS n_removed, count(*) AS n_spans, string_agg(h[2 * before + 1:2 * low], '' ORDER BY low) || any_value(h)[2 * max(high) + 1:] AS kept FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+SQL = {"op1_quality_rules": OP1, "op2_repeated_windows": OP2, "op3_pii": OP3}
