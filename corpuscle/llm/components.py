@@ -27,14 +27,14 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges: u, v (long, not null). Returns u, v: for each node but the smallest of its component, that
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """edges: u, v (long, not null); rows: a bound of their number, if one is known. Returns u, v: for each node but the smallest of its component, that
     smallest node. Self loops and repeated edges do no harm; no edges give no rows."""
-    edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
+    edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges", rows)
+    rows, seen = edges.count(), None
     while True:
-        edges = stored(_small(_large(edges)), "edges")
+        edges = stored(_small(_large(edges)), "edges", rows)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges
-        seen = now
+        rows, seen = now[0], now

@@ -135,7 +135,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
     """k1, runs: of each text (or of more that share k1, which does no harm) the anchor runs that occur at
     more than one place of different texts or of one text. Copies of a text count once. The runs are stored
     first, so that the join's two sides are plain shuffles, of which a hot run's partition can be split."""
-    more = stored(rows.groupBy("run").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a <> b").select("run"), "runs")
+    more = stored(rows.groupBy("run").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a <> b").select("run"), "runs", rows.count() // 2)
     return rows.select("run", "k1").join(more, "run").groupBy("k1").agg(F.collect_set("run").alias("runs"))
 
 
@@ -257,13 +257,14 @@ def _repeated(texts: DataFrame, local: int) -> DataFrame:
     contexts = stored(_contexts(texts), "contexts")
     copy = F.struct(*(F.col(c) for c in ("k1", "k2", "place", "first", "last")))
     distinct = stored(contexts.groupBy("run", "context").agg(F.count("*").alias("n"), F.min(copy).alias("copy")), "distinct")
-    groups = stored(distinct.groupBy("run").agg(F.count("*").alias("g")).where("g > 1"), "groups")
-    open_ = stored(distinct.join(groups, "run").select("run", "context", "copy", "g"), "open")
+    n = distinct.count()
+    groups = stored(distinct.groupBy("run").agg(F.count("*").alias("g")).where("g > 1"), "groups", n // 2)
+    open_ = stored(distinct.join(groups, "run").select("run", "context", "copy", "g"), "open", n)
     ranges = _compared(_cut(texts, open_.where(F.col("g") <= local)))
     if not open_.where(F.col("g") > local).isEmpty():
         ranges = ranges.unionByName(_aggregated(stored(_cut(texts, open_.where(F.col("g") > local)), "cuts")))
     decided = distinct.select("run", "context", (F.col("n") > 1).alias("all")).join(stored(ranges, "ranges"), ["run", "context"], "left")
-    decided = stored(decided.where("all OR ranges IS NOT NULL"), "decided")
+    decided = stored(decided.where("all OR ranges IS NOT NULL"), "decided", n)
     covered = contexts.join(decided, ["run", "context"])
     whole = F.array(F.struct(F.col("first").alias("low"), (F.col("last") + LENGTH).alias("high")))
     parts = F.transform("ranges", lambda r: F.struct((F.col("place") - r["high"]).alias("low"), (F.col("place") - r["low"] + LENGTH).alias("high")))

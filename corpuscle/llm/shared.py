@@ -30,11 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Small rows that one file of a stored table holds at least, where their number is known.
+FILE_ROWS = 50_000
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: what is computed once is
     read many times, its lineage is cut, and any executor can be lost meanwhile. The driver then forgets
-    the shuffles that led to it, whose files would stay until it collects its garbage by chance."""
+    the shuffles that led to it, whose files would stay until it collects its garbage by chance. rows: a
+    bound of the number of (small) rows, so that a small table is not spread over as many files as there are
+    shuffle partitions."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(rows // FILE_ROWS + 1)
     path = f"{shared_dir(spark)}/corpuscle/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()

@@ -185,7 +185,7 @@ def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
 def with_components(prints: DataFrame, key: str = "doc_id", tile: int = TILE) -> DataFrame:
     """prints: key and fp, a row for each document. Returns key, fp, component_id."""
     groups = stored(prints.groupBy("fp").agg(F.min(key).alias("least")), "fingerprints")
-    roots = components(links(groups.select("fp"), tile)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    roots = components(links(groups.select("fp"), tile), BLOCKS * groups.count()).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
