@@ -151,8 +151,11 @@ def _vsm(norm: str) -> Query:
 
 
 def vsm_query_topk(spark, d):
-    asked, _ = search.query_terms(spark, SEARCHES)
-    return search.top(vsm.query(vsm.normalised(index.postings(_docs(spark, d), "tfidf"), "col_l2"), asked), 10)
+    """Norms need all terms of a document, products those of the queries only: the filter passes the joins
+    on its way to the scan, but not the norms' aggregate."""
+    asked, only = search.query_terms(spark, SEARCHES)
+    matrix = vsm.normalised(index.postings(_docs(spark, d), "tfidf"), "col_l2").where(F.col("term").isin(*only))
+    return search.top(vsm.query(matrix, asked), 10)
 
 
 def _parts(spark, d: str) -> DataFrame:
@@ -339,10 +342,10 @@ def code_bits(spark, d):
     """Bits of each term's list in four codes, and the entropy bound of its gap distribution."""
     docs = _docs(spark, d)
     n = float(docs.count())
-    rows = postings.gaps(index.term_frequencies(index.measured(docs))).withColumn("gap", F.col("gap") + F.when(F.col("gap") == 0, 1).otherwise(0))
-    freq = rows.groupBy("term").agg(F.count("*").alias("df"), *(F.sum(f(F.col("gap"))).alias(f.__name__) for f in (T.gamma_bits, T.delta_bits, T.vbyte_bits)))
-    golomb = rows.join(rows.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("term").agg(F.sum(T.golomb_bits(F.col("gap"), F.col("df") / n)).alias("golomb_bits"))
-    return freq.join(golomb, "term")
+    tf = index.term_frequencies(index.measured(docs))
+    rows = postings.gaps(tf).withColumn("gap", F.col("gap") + F.when(F.col("gap") == 0, 1).otherwise(0)).join(index.document_frequencies(tf), "term")
+    bits = [F.sum(f(F.col("gap"))).alias(f.__name__) for f in (T.gamma_bits, T.delta_bits, T.vbyte_bits)]
+    return rows.groupBy("term", "df").agg(*bits, F.sum(T.golomb_bits(F.col("gap"), F.col("df") / n)).alias("golomb_bits"))
 
 
 def term_entropy(spark, d):
