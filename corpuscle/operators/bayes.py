@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuscle.functions.text import lowered_words
+from corpuscle.operators.index import with_term_values
 
 EPSILON = 0.1
 
@@ -45,7 +46,7 @@ def likelihood(classes: list, model: DataFrame) -> DataFrame:
 def predict(docs: DataFrame, classes: list, model: DataFrame, prior: dict | None = None, text: str = "text") -> DataFrame:
     """doc_id, class: the class of the largest sum of log2 likelihoods over a document's known words, the
     first of equals; without known words the first. With prior (class -> p) its logarithm is added."""
-    words = counts(docs, ["doc_id"], text).join(model, "word")
+    words = with_term_values(counts(docs, ["doc_id"], text), model, on="word")
     sums = [F.sum(F.col("cnt") * F.log2(F.get("p", F.lit(i)))).alias(f"s{i}") for i in range(len(classes))]
     scores = docs.select("doc_id").distinct().join(words.groupBy("doc_id").agg(*sums), "doc_id", "left")
     value = [F.round(F.coalesce(f"s{i}", F.lit(0.0)) + (F.log2(F.lit(prior[c])) if prior else 0.0), 6) for i, c in enumerate(classes)]

@@ -78,11 +78,24 @@ def score(kind: str, tf: Column, dl: Column, df: Column, at: Stats, b: float = 0
     return weight if kind == "bm25_no_idf" else weight * idf(df, at.n)
 
 
+#: Parts into which a term's rows are dealt where a value of each term is joined to them.
+SALTS = 16
+
+
+def with_term_values(rows: DataFrame, values: DataFrame, salts: int = SALTS, key: str = "doc_id", on: str = "term") -> DataFrame:
+    """rows joined with a row of values for each term. A term of every document would put all its rows
+    into one task, and the planner cannot split a side that faces an aggregate; so rows are dealt out by
+    document too, and the values, a row for each term, are there once for each part."""
+    parts = values.withColumn("salt_", F.explode(F.array(*map(F.lit, range(salts)))))
+    return rows.withColumn("salt_", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(parts, [on, "salt_"]).drop("salt_")
+
+
 def postings(docs: DataFrame, kind: str = "bm25", b: float = 0.75, k: float = 1.75, stop: tuple[str, ...] = (), only: list[str] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """term, doc_id, tf, dl, df, score."""
     base = measured(docs, stop, text, key)
     tf, at = term_frequencies(base, only), stats(base)
-    joined = tf.join(document_frequencies(tf), "term")
+    df = document_frequencies(tf)
+    joined = with_term_values(tf, df) if only is None else tf.join(df, "term")
     return joined.select("term", "doc_id", "tf", "dl", "df", score(kind, F.col("tf"), F.col("dl"), F.col("df"), at, b, k).alias("score"))
 
 

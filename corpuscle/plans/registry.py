@@ -343,7 +343,8 @@ def code_bits(spark, d):
     docs = _docs(spark, d)
     n = float(docs.count())
     tf = index.term_frequencies(index.measured(docs))
-    rows = postings.gaps(tf).withColumn("gap", F.col("gap") + F.when(F.col("gap") == 0, 1).otherwise(0)).join(index.document_frequencies(tf), "term")
+    rows = postings.gaps(tf).withColumn("gap", F.col("gap") + F.when(F.col("gap") == 0, 1).otherwise(0))
+    rows = index.with_term_values(rows, index.document_frequencies(tf))
     bits = [F.sum(f(F.col("gap"))).alias(f.__name__) for f in (T.gamma_bits, T.delta_bits, T.vbyte_bits)]
     return rows.groupBy("term", "df").agg(*bits, F.sum(T.golomb_bits(F.col("gap"), F.col("df") / n)).alias("golomb_bits"))
 
