@@ -91,7 +91,7 @@ class WordIds:
         tokenize, rest = self.tokenizer.model.tokenize, []
         for w in words:
             text = w.decode()
-            if text.isalpha() and (text.isascii() or max(text) < LATIN and text == text.lower() and is_normalized("NFC", text)):
+            if text.isalpha() and text == text.lower() and (text.isascii() or max(text) < LATIN and is_normalized("NFC", text)):
                 found = tokenize(text if text.isascii() else w.decode("latin-1").translate(BYTES))
                 self.young[w] = np.array([x.id for x in found], "<u4").tobytes()
             else:

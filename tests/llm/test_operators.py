@@ -278,6 +278,12 @@ def test_packing_interface(spark):
         assert np.frombuffer(words(text.encode()), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_capitals_beside_special_strings():
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    for text in ("Hello, World <|endoftext|> Licence", "<|im_start|>User\nPlease RETURN the Value. <|", "hello, Hello hello. HELLO, <|x"):
+        assert np.frombuffer(words(text.encode()), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_pipeline_stages(spark, sf, docs):
     table = spark.read.parquet(f"{sf}/documents.parquet").withColumn("score", F.lit(1)).withColumn("rate", F.lit("x"))
     table = table.unionByName(table.where("doc_id < 5")).unionByName(table.where("doc_id = 10").withColumn("doc_id", F.lit(None).cast("long"))).persist()
