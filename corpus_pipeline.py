@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import langid, mixing, packing, pii, simhash
+from corpuscle.llm import copies, langid, mixing, packing, pii
 from corpuscle.llm.shared import shared_dir, stored
 
 #: Tokens beyond those that the first domain has: with a few to spare, its documents have rates of one
@@ -34,8 +34,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id stays."""
-    groups = stored(simhash.near_duplicates(docs), "groups")
+    """Of each component of near copies (five-word shingles, similarity 0.8) the document with the smallest id
+    stays."""
+    groups = stored(copies.near_copies(docs), "groups")
     out = docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
     if not groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(out.where("doc_id IS NULL"))

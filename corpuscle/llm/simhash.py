@@ -34,24 +34,35 @@ HASHES = 1 << 16
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: bytes | None, size: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint of a text, unsigned."""
+def shingles(text: bytes | None, size: int = SHINGLE, seed: int = SEED):
+    """Yields the hashes of a text's shingles in parts of at most HASHES; none for a text without words."""
     from xxhash import xxh64_intdigest
 
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     size = min(size, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     first = np.concatenate(([0], ends[:-1] + 1))[: len(words) - size + 1]
     last = ends[size - 1 :]
-    counts = np.zeros(64, np.int64)
     for k in range(0, len(first), HASHES):
-        hashes = [xxh64_intdigest(joined[a:b], seed) for a, b in zip(first[k : k + HASHES].tolist(), last[k : k + HASHES].tolist())]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        yield np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(first[k : k + HASHES].tolist(), last[k : k + HASHES].tolist())], "<u8")
+
+
+def majority(parts) -> int:
+    """The bits that more than half of the hashes have, unsigned."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(first), bitorder="little").view("<u8")[0])
+        n += len(hashes)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes | None, size: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint of a text, unsigned."""
+    return majority(shingles(text, size, seed))
 
 
 def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 """The pipeline against brute force, stage by stage, and what the operators share."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -100,6 +101,31 @@ def test_stages_against_brute_force(spark, sf):
     assert covered == {i: len(x) for i, x in ids.items()}
 
 
+def test_near_copies_of_similarity_080(spark):
+    """Copies with a few words replaced, whose fingerprints are far apart, fall; texts below 0.8 stay."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(rng.randint(150, 600))]
+        texts.append(base)
+        for share in (0.01, 0.02, 0.03, 0.05):
+            made = list(base)
+            for k in rng.sample(range(len(base)), max(1, int(share * len(base)))):
+                made[k] = rng.choice(words)
+            texts.append(made)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j - j % 5, j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(root)
+    assert len(set(root)) > 60
+
+
 def test_run_equals_its_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
