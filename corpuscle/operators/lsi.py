@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_TERMS = 2000
+#: Columns that a task makes dense at once.
+STEP = 512
 
 
 def gram(columns: DataFrame, m: int) -> np.ndarray:
@@ -55,6 +57,70 @@ def scores(columns: DataFrame, query: list[float], matrix: np.ndarray) -> DataFr
     return columns.select("doc_id", F.aggregate(F.zip_with("v", weights, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("score"))
 
 
+def sparse_columns(postings: DataFrame, terms: list[str], docs: DataFrame) -> DataFrame:
+    """doc_id, at, x: the places in `terms` and the values of every document's terms that are among them."""
+    places = docs.sparkSession.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, i int")
+    found = postings.join(F.broadcast(places), "term").groupBy("doc_id", "i").agg(F.max("score").cast("double").alias("x"))
+    wide = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("c"))
+    return docs.select("doc_id").join(wide, "doc_id", "left").select("doc_id", F.coalesce("c.i", F.array().cast("array<int>")).alias("at"), F.coalesce("c.x", F.array().cast("array<double>")).alias("x"))
+
+
+def sparse_gram(columns: DataFrame, m: int) -> np.ndarray:
+    """The Gram matrix of such columns. A task makes STEP columns dense at once; the rows of the tasks'
+    matrices are dealt out and summed by their place."""
+    if m > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} terms")
+
+    def partial(batches):
+        import pyarrow as pa
+
+        total = np.zeros((m, m))
+        for batch in batches:
+            for k in range(0, len(batch), STEP):
+                at, x = (c.slice(k, STEP) for c in batch.columns)
+                sizes = at.value_lengths().to_numpy()
+                dense = np.zeros((len(at), m))
+                dense[np.repeat(np.arange(len(at)), sizes), at.flatten().to_numpy()] = x.flatten().to_numpy()
+                total += dense.T @ dense
+        used = np.flatnonzero(total.any(axis=1))
+        for k in range(0, len(used), 64):
+            part = used[k : k + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([r.tobytes() for r in total[part]], pa.binary())], names=["i", "row"])
+
+    def summed(batches):
+        import pyarrow as pa
+
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[i] = sums.get(i, 0) + np.frombuffer(row)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([r.tobytes() for r in sums.values()], pa.binary())], names=["i", "row"])
+
+    rows = columns.select("at", "x").mapInArrow(partial, "i int, row binary").repartition("i").mapInArrow(summed, "i int, row binary").toArrow()
+    out = np.zeros((m, m))
+    for i, row in zip(rows["i"].to_pylist(), rows["row"].to_pylist()):
+        out[i] = np.frombuffer(row)
+    return out
+
+
+def sparse_scores(columns: DataFrame, query: list[float], matrix: np.ndarray) -> DataFrame:
+    """`scores` for sparse columns."""
+    weights = np.asarray(query, float) @ matrix
+    kind = columns.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, at, x = batch.columns
+            owner = np.repeat(np.arange(len(batch)), at.value_lengths().to_numpy())
+            values = np.bincount(owner, x.flatten().to_numpy() * weights[at.flatten().to_numpy()], len(batch))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(values)], names=["doc_id", "score"])
+
+    return columns.select("doc_id", "at", "x").mapInArrow(run, f"doc_id {kind}, score double")
+
+
 def dense_columns(postings: DataFrame, terms: list[str], docs: DataFrame) -> DataFrame:
     """doc_id, v over the given terms, for every document."""
     values = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("score"))), F.lit(0.0)).alias(f"t{i}") for i, t in enumerate(terms)]

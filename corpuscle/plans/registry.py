@@ -16,7 +16,7 @@ SEARCHES = {"q1": "the and of", "q2": "hewh onthe erly", "q3": "de la que", "q4"
 FUZZY = [("lic", 1), ("vers", 1), ("releas", 2), ("the", 0)]
 CODED = ("the", "de", "hewh")
 VITERBI_BUCKETS = (10.0, 30.0, 60.0, 120.0)
-LSI_TERMS = 50
+LSI_TERMS = lsi.MAX_TERMS
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -329,9 +329,9 @@ def lsi_scores(spark, d):
     terms."""
     docs = _docs(spark, d)
     frequent = [r["term"] for r in index.document_frequencies(index.term_frequencies(index.measured(docs))).orderBy(F.desc("df"), "term").limit(LSI_TERMS).collect()]
-    columns = lsi.dense_columns(index.postings(docs, "tf", only=frequent), frequent, docs)
-    _, u = lsi.concepts(lsi.gram(columns, len(frequent)), 10)
-    return _rounded(lsi.scores(columns, [1.0, *[0.0] * (len(frequent) - 1)], lsi.expansion(u)), "score")
+    columns = lsi.sparse_columns(index.postings(docs, "tf", only=frequent), frequent, docs)
+    _, u = lsi.concepts(lsi.sparse_gram(columns, len(frequent)), 10)
+    return _rounded(lsi.sparse_scores(columns, [1.0, *[0.0] * (len(frequent) - 1)], lsi.expansion(u)), "score")
 
 
 def gap_encoding(spark, d):

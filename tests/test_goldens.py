@@ -268,3 +268,22 @@ def test_lsi(spark):
     assert score(lsi.expansion(u, 12 / 25)) == [58, 80, 80, 40, 58]
     with pytest.raises(ValueError):
         lsi.gram(columns, lsi.MAX_TERMS + 1)
+
+
+def test_lsi_query_covers_content_words(spark, tmp_path):
+    """The query over more than 50 terms, held against a plain decomposition of the whole matrix."""
+    import numpy as np
+
+    from corpuscle.plans import registry
+
+    rng = np.random.default_rng(4)
+    words = ["".join(chr(97 + d) for d in (i // 26, i % 26)) for i in range(200)]
+    texts = [" ".join(rng.choice(words, 40, p=np.arange(200, 0, -1) / 20100)) for _ in range(60)] + [words[120], ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tf = np.array([[t.split().count(w) for t in texts] for w in words], float)
+    order = sorted((i for i in range(200) if tf[i].any()), key=lambda i: (-(tf[i] > 0).sum(), words[i]))
+    a = tf[order]
+    u = np.linalg.svd(a)[0][:, :10]
+    want = (u @ u.T)[0] @ a
+    got = {r["doc_id"]: r["score"] for r in registry.queries()["lsi_scores"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(62)] == pytest.approx(want.tolist(), abs=1e-5) and got[60] != 0 and got[61] == 0
