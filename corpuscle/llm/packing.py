@@ -19,11 +19,13 @@ from __future__ import annotations
 
 import functools
 import heapq
+import json
 import zlib
-from unicodedata import is_normalized
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from corpuscle.llm.shared import arrow_schema, bounded_batches, documents
 from corpuscle.llm.tokens import load
@@ -33,8 +35,9 @@ END_ID = 1
 QUADRATIC = 1 / 4096
 #: Tokens of a pool, beyond which it is packed.
 POOL = 256 * LENGTH
-#: Words of which a Python worker keeps the ids, in each of two generations.
+#: Words of at most KEPT bytes of which a Python worker keeps the ids, in each of two generations.
 CACHE = 150_000
+KEPT = 64
 TOKENIZER = "word_bpe_49k.json"
 #: The first letter behind the Latin blocks.
 LATIN = "\u0250"
@@ -44,15 +47,46 @@ SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in SEEN)}
 
 
+#: What WordIds takes for granted: letters, single digits and other characters are pre-tokens of their own,
+#: whatever their case, and white space only divides them.
+ASSUMED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+
+
+def divides_words(tokenizer) -> bool:
+    """Whether a text's ids are its words' ids in a row: normalizer and pre-tokenizer are the ones that
+    WordIds knows, and no added string holds white space or starts otherwise than with <|."""
+    config = json.loads(tokenizer.to_str())
+    added = config["added_tokens"]
+    plain = all(t["content"].startswith("<|") and not t["content"].split()[1:] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in added)
+    return plain and all(config[k] == v for k, v in ASSUMED.items())
+
+
+class TextIds:
+    """Ids of texts for any vocabulary, each text encoded as a whole."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def __call__(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+
 class WordIds:
     """Ids of texts for a vocabulary whose pre-tokens are letters, single digits or other characters,
     without regard to case or white space: a text's ids are its words' ids in a row. The ids of frequent
-    words are kept. A word of letters and a comma or full stop after it are two pre-tokens, looked up
-    apart. A new word of lower-case Latin letters is one pre-token that normalization leaves as it is, so it
-    goes to the library's model at once; any other word goes through the whole of the tokenizer."""
+    words are kept. A word of letters (in its normal form too: a letter may fall apart there) and a comma or
+    full stop after it are two pre-tokens, looked up apart. A new word of lower-case Latin letters is one
+    pre-token that normalization leaves as it is, so it goes to the library's model at once; any other word
+    goes through the whole of the tokenizer."""
 
-    def __init__(self, path: str):
-        self.tokenizer, self.young, self.old = load(path), {}, {}
+    def __init__(self, tokenizer):
+        self.tokenizer, self.young, self.old = tokenizer, {}, {}
 
     def __call__(self, text: bytes) -> bytes:
         """The ids of a text, as little-endian unsigned 32-bit integers."""
@@ -61,7 +95,7 @@ class WordIds:
         young, new, two = self.young, [], []
         for w in set(words):
             if w not in young and not self._known(w):
-                if w[-1:] in (b",", b".") and w[:-1].decode().isalpha():
+                if w[-1:] in (b",", b".") and _letters(w[:-1].decode()):
                     two.append(w)
                     if w[:-1] not in young and not self._known(w[:-1]):
                         new.append(w[:-1])
@@ -72,6 +106,9 @@ class WordIds:
         for w in two:
             young[w] = young[w[:-1]] + self._single(w[-1:])
         ids = b"".join(map(young.__getitem__, words))
+        for w in [*new, *two]:
+            if len(w) > KEPT:
+                young.pop(w, None)
         if len(young) > CACHE:
             self.old, self.young = young, {}
         return ids
@@ -103,10 +140,16 @@ class WordIds:
             self.young[w.encode()] = np.array(e.ids, "<u4").tobytes()
 
 
+def _letters(word: str) -> bool:
+    """Whether a word is one pre-token of letters, as given and in its normal form."""
+    return word.isalpha() and (word.isascii() or normalize("NFC", word).lower().isalpha())
+
+
 @functools.cache
-def word_ids(path: str) -> WordIds:
+def text_ids(path: str) -> WordIds | TextIds:
     """One for each worker process, whose tasks share what it has kept."""
-    return WordIds(path)
+    tokenizer = load(path)
+    return WordIds(tokenizer) if divides_words(tokenizer) else TextIds(tokenizer)
 
 
 def pack_pool(pieces: list[tuple], length: int = LENGTH, quadratic: float = QUADRATIC, last: bool = False):
@@ -155,10 +198,10 @@ def pack_pool(pieces: list[tuple], length: int = LENGTH, quadratic: float = QUAD
 
 
 def packed(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID, quadratic: float = QUADRATIC, with_ids: bool = False) -> DataFrame:
-    """A row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with
-    `with_ids` the ids themselves."""
-    kind = df.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
+    """A row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_cost
+    (the estimated cost of its sequence), and with `with_ids` the ids themselves."""
+    made = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_cost double" + ", ids array<int>" * with_ids
+    schema = StructType([df.schema[key], *StructType.fromDDL(made).fields])
     out = arrow_schema(schema)
     bounded_batches(df.sparkSession)
 
@@ -166,7 +209,7 @@ def packed(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", le
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, end = word_ids(path), np.array([end_id], "<u4").tobytes()
+        encode, end = text_ids(path), np.array([end_id], "<u4").tobytes()
         made = TaskContext.get().partitionId() << 33
         docs: dict[int, tuple] = {}  # number -> key, ids of those that a piece still needs
         left: list[tuple] = []
@@ -177,11 +220,11 @@ def packed(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", le
             sequences, left = pack_pool(left, length, quadratic, last)
             rows = []
             for pieces in sequences:
-                offset = 0
+                offset, cost = 0, sum(size + quadratic * size * size for size, _, _ in pieces)
                 for size, doc, start in pieces:
                     name, ids = docs[doc]
                     part = ids[4 * start : 4 * (start + size)]
-                    rows.append((name, start, size, zlib.crc32(part), len(ids) // 4, made, offset) + ((np.frombuffer(part, "<u4").astype(np.int32),) if with_ids else ()))
+                    rows.append((name, start, size, zlib.crc32(part), len(ids) // 4, made, offset, cost) + ((np.frombuffer(part, "<u4").astype(np.int32),) if with_ids else ()))
                     offset += size
                 made += 1
             docs = {d: docs[d] for d in {x[1] for x in left}}
@@ -189,7 +232,7 @@ def packed(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", le
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), out)] if rows else [pa.array([], type=f.type) for f in out], schema=out)
 
         for batch in batches:
-            names, texts = batch.column(key).to_pylist(), batch.column(text).cast(pa.binary())
+            names, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
             for i, name in enumerate(names):
                 ids = encode(texts[i].as_py() or b"") + end
                 docs[count] = (name, ids)
