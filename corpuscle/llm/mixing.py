@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from corpuscle.llm.shared import documents, map_texts, stored
+from corpuscle.llm.shared import documents, extended, map_texts, stored
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.88, "low": 0.10, "toxic": 0.02}
@@ -51,13 +51,16 @@ def features(data: bytes | None) -> tuple[np.ndarray, list[float], int]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = MAX_LABELLED) -> DataFrame:
-    """domain (place in DOMAINS), text of at most about `rows` labelled documents, by hash of the id."""
+    """domain (place in DOMAINS), text of at most `rows` labelled documents, by hash of the id; a repeated id
+    counts once, with its last domain and its first text."""
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
     given = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select("doc_id", domain.alias("domain"))
     n = given.count()
     limit = min((1 << 63) - 1, (1 << 63) // max(1, n) * rows)
-    chosen = given.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= limit)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", "text")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    chosen = given.where(place <= limit).groupBy("doc_id").agg(F.max("domain").alias("domain")).orderBy(place, "doc_id").limit(rows)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "domain").agg(F.min("text").alias("text")).select("domain", "text")
 
 
 def fit_classifier(sample: DataFrame, domains: int = len(DOMAINS), steps: int = 200) -> np.ndarray:
@@ -89,10 +92,9 @@ def fit_classifier(sample: DataFrame, domains: int = len(DOMAINS), steps: int =
 
 
 def posteriors(df: DataFrame, weights: np.ndarray, domains: tuple[str, ...] = DOMAINS) -> DataFrame:
-    """The rows of df without text, with n_tokens and p_<domain>."""
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name != "text")
+    """The rows of df without text, with n_tokens and p_<domain>, in place of columns of these names."""
 
-    def step(rows, texts):
+    def step(texts):
         counts, z = [], np.zeros((len(texts), weights.shape[1]))
         for i, x in enumerate(texts):
             buckets, shape, n = features(x)
@@ -100,9 +102,9 @@ def posteriors(df: DataFrame, weights: np.ndarray, domains: tuple[str, ...] = DO
             counts.append(n)
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        return [*rows.columns, counts, *p.T]
+        return [counts, *p.T]
 
-    return map_texts(df, step, f"{fields}n_tokens long, " + ", ".join(f"p_{d} double" for d in domains))
+    return extended(df, step, "n_tokens long, " + ", ".join(f"p_{d} double" for d in domains))
 
 
 def fit_rates(table: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, spare: float = 1.0) -> DataFrame:
