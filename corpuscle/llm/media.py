@@ -3,8 +3,8 @@
 their rate and stored as PCM.
 
 Defined cases: a null media value, or one that is no such file, gives nulls in every made column; a file
-without samples gives empty PCM; repeated rows give equal results; other columns pass through. In
-`store_bytes`, null is stored as an empty payload.
+without samples gives empty PCM; repeated rows give equal results; other columns pass through, but those
+named as a made one, which it replaces. In `store_bytes`, null is stored as an empty payload.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from corpuscle.llm.shared import documents, map_texts
+from corpuscle.llm.shared import documents, extended
 
 RATE = 8000
 UNIT = 64  # bytes; also an ADPCM block
@@ -105,8 +105,8 @@ def parse(media: bytes) -> tuple[int, int, int, bytes] | None:
 
 
 def expand(codec: int, block: int, data: list[bytes]) -> list[np.ndarray]:
-    """The samples of several payloads of one codec and block size, in one pass. A last ADPCM block that
-    is cut off is left out: it has no whole header to start from, or the file says nothing of its end."""
+    """The samples of several payloads of one codec and block size, in one pass. A last ADPCM block that is
+    cut off is decoded as far as it goes; one without a whole header and a code has no samples."""
     if codec != ADPCM:
         table = MULAW_TABLE if codec == MULAW else ALAW_TABLE
         return [table[np.frombuffer(x, np.uint8)] for x in data]
@@ -114,7 +114,11 @@ def expand(codec: int, block: int, data: list[bytes]) -> list[np.ndarray]:
     rows = np.frombuffer(b"".join(x[: n * block] for x, n in zip(data, counts, strict=True)), np.uint8).reshape(-1, block)
     samples = decode_adpcm(rows)
     ends = np.cumsum(counts)
-    return [samples[e - n : e].ravel() for e, n in zip(ends, counts, strict=True)]
+    found = [samples[e - n : e].ravel() for e, n in zip(ends, counts, strict=True)]
+    for i, x in enumerate(data):
+        if (rest := len(x) % block) > 4:
+            found[i] = np.concatenate((found[i], decode_adpcm(np.frombuffer(x[-rest:], np.uint8).reshape(1, rest)).ravel()))
+    return found
 
 
 def twice(samples: np.ndarray) -> np.ndarray:
@@ -150,19 +154,16 @@ def decode_many(media: list[bytes | None]) -> list[tuple | None]:
     return out
 
 
-def _fields(df: DataFrame, without: str) -> str:
-    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name != without)
-
-
 def with_pcm(df: DataFrame, media: str = "media") -> DataFrame:
-    """The rows of df without `media`, with codec, rate (of the PCM), pcm (a 16-bit WAVE file) and feature."""
+    """The rows of df without `media`, with codec, rate (of the PCM), pcm (a 16-bit WAVE file) and feature,
+    which take the place of columns of these names."""
 
-    def step(rows, files):
+    def step(files):
         found = decode_many(files)
         codec, rate = [x and CODECS[x[0]] for x in found], [x and 2 * x[1] for x in found]
-        return [*rows.columns, codec, rate, [x and wav(PCM, x[4], 2 * x[1]) for x in found], [x and features(x[0], x[3], x[4]) for x in found]]
+        return [codec, rate, [x and wav(PCM, x[4], 2 * x[1]) for x in found], [x and features(x[0], x[3], x[4]) for x in found]]
 
-    return map_texts(df, step, f"{_fields(df, media)}codec string, rate int, pcm binary, feature string", media, 1 << 20)
+    return extended(df, step, "codec string, rate int, pcm binary, feature string", media, 1 << 20)
 
 
 def store_bytes(data: bytes, unit: int = UNIT) -> bytes:
@@ -173,16 +174,17 @@ def store_bytes(data: bytes, unit: int = UNIT) -> bytes:
 
 
 def op7_media_columns(spark, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
+    """Beside the contract's columns the size and digest of the stored PCM file (pcm_bytes, pcm_sha256)."""
 
-    def step(rows, texts):
+    def step(texts):
         media = [store_bytes(x or b"") for x in texts]
         found = decode_many(media)
-        payload = [x[2] for x in found]
+        payload, pcm = [x[2] for x in found], [wav(PCM, x[4], 2 * x[1]) for x in found]
         hexes = lambda values: [hashlib.sha256(x).hexdigest() for x in values]
         return [
-            *rows.columns, [len(x or b"") for x in texts], [len(x) for x in payload], hexes(payload), [zlib.crc32(x[-64:]) for x in payload],
-            [len(x) for x in media], hexes(media), [features(x[0], x[3], x[4]) for x in found],
+            [len(x or b"") for x in texts], [len(x) for x in payload], hexes(payload), [zlib.crc32(x[-64:]) for x in payload],
+            [len(x) for x in media], hexes(media), [features(x[0], x[3], x[4]) for x in found], [len(x) for x in pcm], hexes(pcm),
         ]
 
-    return map_texts(docs, step, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", most=1 << 20)
+    made = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
+    return extended(documents(spark, sf_dir).select("doc_id", "text"), step, made, most=1 << 20)
