@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a run of characters other than the ASCII white space \x20 \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,14 +22,21 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="corpuscle-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session. Only where it
-    is unset (tests on one machine) a folder of this machine is made and set."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where it is unset a
+    folder of this machine serves if all tasks run on it; on a cluster that is an error, since each executor
+    would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="corpuscle-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder()
 
 
 #: Small rows that one file of a stored table holds at least, where their number is known.
@@ -73,12 +82,26 @@ def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def arrow_schema(ddl: str):
-    """The Arrow schema of a DDL string; on the driver only."""
+def tucked(df: DataFrame, text: str = "text", **more: Column) -> tuple[DataFrame, list[str]]:
+    """df as in_ (a struct of all columns but `text`), text and the columns `more`, with the names in in_:
+    whatever the columns are called, they cannot clash with an operator's own."""
+    names = [c for c in df.columns if c != text]
+    row = F.struct(F.lit(True).alias("there"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
+    return df.select(row.alias("in_"), F.col(f"`{text}`").alias("text"), *(v.alias(k) for k, v in more.items())), names
+
+
+def untucked(df: DataFrame, names: list[str], made: dict[str, Column]) -> DataFrame:
+    """The tucked columns under their names, then the made ones. As with withColumn, a made column takes
+    the place of a given one of the same name."""
+    own = {k.lower() for k in made}
+    return df.select(*(F.col("in_")[f"c{i}"].alias(n) for i, n in enumerate(names) if n.lower() not in own), *(v.alias(k) for k, v in made.items()))
+
+
+def arrow_schema(schema: str | StructType):
+    """The Arrow schema of a DDL string or a Spark schema; on the driver only."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType.fromDDL(ddl))
+    return to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
 
 
 #: Bytes of text that one step of a Python operator works on at once, and of an Arrow batch (one row at least).
@@ -94,7 +117,7 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
-def map_texts(df: DataFrame, step, schema: str, text: str = "text", most: int = STEP_BYTES, finish=None) -> DataFrame:
+def map_texts(df: DataFrame, step, schema: str | StructType, text: str = "text", most: int = STEP_BYTES, finish=None) -> DataFrame:
     """`step(rows, texts)` over the rows of df, in steps of at most `most` bytes of text (one row at
     least). rows: an Arrow batch of the other columns; texts: list of bytes (UTF-8), None for null.
     step returns a list of columns in the order of schema, or None. finish() is called at a partition's
@@ -120,3 +143,14 @@ def map_texts(df: DataFrame, step, schema: str, text: str = "text", most: int =
             yield batch_of(made)
 
     return df.mapInArrow(run, schema)
+
+
+def extended(df: DataFrame, step, made: str, text: str = "text", most: int = STEP_BYTES) -> DataFrame:
+    """The rows of df without `text`, with the columns `made` (DDL) that step(texts) returns. As with
+    withColumn, a made column takes the place of a given one of the same name."""
+    fields = StructType.fromDDL(made).fields
+    own = {f.name.lower() for f in fields}
+    rest = [f for f in df.schema.fields if f.name != text and f.name.lower() not in own]
+    own = "_".join(["text", *own, *(f.name for f in rest)])  # longer than any, so that it is none of them
+    given = df.select(*(F.col(f"`{f.name}`") for f in rest), F.col(f"`{text}`").alias(own))
+    return map_texts(given, lambda rows, texts: [*rows.columns, *step(texts)], StructType([*rest, *fields]), own, most)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.llm.components import components
-from corpuscle.llm.shared import arrow_schema, documents, map_texts, stored
+from corpuscle.llm.shared import arrow_schema, documents, extended, stored
 
 SHINGLE = 3
 SEED = 42
@@ -66,13 +66,9 @@ def fingerprint(text: bytes | None, size: int = SHINGLE, seed: int = SEED) -> in
 
 
 def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of df without `text`, with fp (the fingerprint's bits as a long)."""
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name != text)
-
-    def step(rows, texts):
-        return [*rows.columns, np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64)]
-
-    return map_texts(df, step, f"{fields}fp long", text)
+    """The rows of df without `text`, with fp (the fingerprint's bits as a long), in place of a column of
+    that name."""
+    return extended(df, lambda texts: [np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64)], "fp long", text)
 
 
 def hexed(fp: Column) -> Column:

@@ -9,7 +9,7 @@ vocabulary's special strings and contractions. Where the overlap holds no common
 megabytes long) it is widened, at last to the whole of both chunks.
 
 Defined cases: null and empty texts have 0 tokens and 0 bytes; equal texts have equal counts; each row
-gets one row; other columns pass through.
+gets one row; other columns pass through, but those named as a made one, which it replaces.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import os
 
 from pyspark.sql import DataFrame
 
-from corpuscle.llm.shared import documents, map_texts
+from corpuscle.llm.shared import documents, extended
 
 CHUNK = 16_384
 OVERLAP = 256
@@ -91,10 +91,10 @@ def _same_place(left, right, skip: int) -> int:
 
 
 def with_counts(df: DataFrame, path: str, text: str = "text", limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """The rows of df without `text`, with n_bytes, n_tokens, over_limit."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text)
+    """The rows of df without `text`, with n_bytes, n_tokens, over_limit, which take the place of columns
+    of these names."""
 
-    def step(rows, texts):
+    def step(texts):
         tokenizer = load(path)
         strings = ["" if x is None else x.decode() for x in texts]
         short = [i for i, x in enumerate(strings) if len(x) <= chunk]
@@ -104,9 +104,9 @@ def with_counts(df: DataFrame, path: str, text: str = "text", limit: int = LIMIT
         for i, x in enumerate(strings):
             if len(x) > chunk:
                 counts[i] = count_long(x, tokenizer, chunk, overlap)
-        return [*rows.columns, [len(x or b"") for x in texts], counts, [n > limit for n in counts]]
+        return [[len(x or b"") for x in texts], counts, [n > limit for n in counts]]
 
-    return map_texts(df, step, f"{fields + ', ' if fields else ''}n_bytes long, n_tokens long, over_limit boolean", text, most=1 << 20)
+    return extended(df, step, "n_bytes long, n_tokens long, over_limit boolean", text, most=1 << 20)
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The operators' own interfaces, their inner parts and defined cases."""
 
+import math
 import random
 
 import numpy as np
@@ -75,34 +76,61 @@ def test_mixing_without_labels(spark):
     assert len(got) == 4 and (got.rate >= 0).all()
 
 
-def test_ppm_is_a_distribution_and_matches_a_plain_model(spark):
-    rng = np.random.default_rng(3)
-    codes = rng.integers(0, 6, (200, 3)) @ np.array([1 << 16, 1 << 8, 1])
-    codes, n = np.unique(codes, return_counts=True)
-    place, table = ppm.trie(codes, n.astype(float))
-    assert np.allclose((10.0 ** table.astype(float)).sum(axis=1), 1, atol=1e-5)
-    full = np.zeros((1, 256)) + 1
-    assert np.allclose(ppm.escaped([full, full]).sum(), 1)
+def plain_ppm(training, order):
+    """log10 probability of a text by a plain model with dictionaries of contexts."""
     contexts = {}
-    for c, k in zip(codes.tolist(), n.tolist()):
-        for context in (((c >> 16), (c >> 8) & 255), ((c >> 8) & 255,), ()):
-            row = contexts.setdefault(context, {})
-            row[c & 255] = row.get(c & 255, 0) + k
-
-    def plain(a, b, s):
+    pad = b"\0" * order
+    for text in training:
+        data = pad + text + b"\0"
+        for i in range(order, len(data)):
+            for k in range(order + 1):
+                row = contexts.setdefault(data[i - k : i], {})
+                row[data[i]] = row.get(data[i], 0) + 1
+
+    def one(context, byte):
         weight, out = 1.0, set()
-        for context in ((a, b), (b,), ()):
-            left = {k: v for k, v in contexts.get(context, {}).items() if k not in out}
-            below = sum(left.values()) + len(left)
-            if left and s in left:
-                return weight * left[s] / below
+        for k in range(len(context), -1, -1):
+            seen = contexts.get(context[len(context) - k :], {})
+            left = {b: n for b, n in seen.items() if b not in out}
+            below = sum(left.values()) + (len(left) if len(seen) < 256 else 0)
+            if byte in left:
+                return weight * left[byte] / below
             if left:
                 weight *= len(left) / below
-                out |= set(left)
+                out |= left.keys()
         return weight / (256 - len(out))
 
-    for a, b, s in rng.integers(0, 8, (300, 3)).tolist():
-        assert 10.0 ** float(table[place[a << 8 | b], s]) == pytest.approx(plain(a, b, s), rel=1e-4)
+    def log(text):
+        data = pad + text + b"\0"
+        return sum(math.log10(one(data[i - order : i], data[i])) for i in range(order, len(data)))
+
+    return one, log
+
+
+def test_ppm_scores_are_those_of_a_plain_model(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcd é") for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["zzz new bytes ÿ", None, "", "日本", "abcabcabc" * 30]
+    every = bytes(range(1, 256)).decode("latin-1")  # many bytes after one context
+    texts += [" ".join(every), " ".join(every)]
+    df = frame(spark, texts).withColumn("train", F.col("doc_id") % 3 != 0)
+    for order, frequent in ((5, 40), (2, 1 << 20)):
+        _, log = plain_ppm([(t or "").encode() for i, t in enumerate(texts) if i % 3], order)
+        got = {r["doc_id"]: r["score"] for r in ppm.score(df, F.col("train"), order=order, frequent=frequent, top=3).collect()}
+        assert got == pytest.approx({i: log((t or "").encode()) for i, t in enumerate(texts)}, rel=1e-5)
+
+
+def test_ppm_is_a_distribution(spark):
+    one, _ = plain_ppm([b"abracadabra", b"abacus"], 3)
+    for context in (b"abr", b"zzz", b"zab", b"\0\0\0"):
+        assert sum(one(context, b) for b in range(256)) == pytest.approx(1)
+
+
+def test_ppm_clashing_names_and_bounds(spark):
+    df = frame(spark, ["a b", "a b", "c"], score="x", code=1, n="y", row_="z", in_=3)
+    got = ppm.score(df, F.lit(True)).orderBy("doc_id")
+    assert got.columns == ["doc_id", "code", "n", "row_", "in_", "n_tokens", "n_known", "train_tokens", "base_score", "score"] and got.first()["n"] == "y"
+    long = frame(spark, ["w" * 1000, "w" * 1000 + " v"])
+    assert [r["n_known"] for r in ppm.score(long, F.lit(True)).orderBy("doc_id").collect()] == [2, 3]
 
 
 def test_ppm_likes_what_it_has_seen(spark):
@@ -273,13 +301,13 @@ def test_packing_interface(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = packing.packed(frame(spark, ["a b", None, "a b"], start="clash").drop("doc_id").withColumn("k", F.lit("key")), path, key="k", with_ids=True).collect()
     assert sorted(len(r["ids"]) for r in got) and sum(r["length"] for r in got) == 3 + 1 + 3 and {r["k"] for r in got} == {"key"}
-    words = packing.WordIds(path)
+    words = packing.text_ids(path)
     for text in ("it's we'll, end. x,y İstanbul ΑΣ a b <|endoftext|> <|EndOfText|>", "Ab. ab ab, ab.", " ", ""):
         assert np.frombuffer(words(text.encode()), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_packing_capitals_beside_special_strings():
-    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    words = packing.text_ids(public_tokenizers.path("word_bpe_49k.json"))
     for text in ("Hello, World <|endoftext|> Licence", "<|im_start|>User\nPlease RETURN the Value. <|", "hello, Hello hello. HELLO, <|x"):
         assert np.frombuffer(words(text.encode()), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -302,3 +330,65 @@ def test_pipeline_stages(spark, sf, docs):
         seen = after
     pieces = corpus_pipeline.STAGES[-1][1](spark, seen, sf)
     assert {r["doc_id"] for r in pieces.collect()} == {r["doc_id"] for r in seen.collect()}
+
+
+PIECES = st.sampled_from(["Hello", "WORLD", "İstanbul", "İ", ".", ",", "<|", "<|endoftext|>", "<|EndOfText|>", "é", "e\u0301", "\u0301", "ΑΣ", "ß", "K", "'s", "'LL", " ", "\n", "\u00a0", "\u2003", "\x0b", "\x1c", "\x85", "1", "日本", "👍🏽", "a" * 70, "ŉ", "ͅ", "\0"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PIECES | st.text(max_size=3), max_size=12))
+def test_word_ids_are_those_of_the_whole_text(parts):
+    words, text = packing.text_ids(public_tokenizers.path("word_bpe_49k.json")), "".join(parts)
+    assert isinstance(words, packing.WordIds)
+    assert np.frombuffer(words(text.encode()), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_with_another_vocabulary(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = packing.text_ids(path)
+    assert isinstance(whole, packing.TextIds) and len(packing.text_ids(public_tokenizers.path("word_bpe_49k.json"))(b"Hello World <|endoftext|> The End")) == 5 * 4
+    got = packing.packed(frame(spark, ["Two words", None]), path, with_ids=True).collect()
+    assert sorted(sum((list(r["ids"]) for r in got if r["doc_id"] == 0), [])) == sorted([*whole.tokenizer.encode("Two words").ids, 1])
+
+
+def test_packing_balances_costs():
+    rng = random.Random(12)
+    pieces = [(min(2048, int(rng.paretovariate(0.8) * 40)), i, 0) for i in range(4000)]
+    cost = lambda s: sum(n + packing.QUADRATIC * n * n for n, _, _ in s)
+    sequences = [s for s in packing.pack_pool(pieces)[0] if len(s) > 1]
+    in_order, room = [[]], 2048
+    for size, doc, start in pieces:
+        while size:
+            part = min(size, room)
+            in_order[-1].append((part, doc, start))
+            size, start, room = size - part, start + part, room - part
+            if not room:
+                in_order.append([])
+                room = 2048
+    spread = lambda some: np.std([cost(s) for s in some if sum(x[0] for x in s) == 2048])
+    assert spread(sequences) < 0.5 * spread(in_order)
+
+
+MADE = {
+    "tokens": (lambda df: tokens.with_counts(df, public_tokenizers.path("byte_bpe_50k.json")), ["n_bytes", "n_tokens", "over_limit"]),
+    "langid": (lambda df: langid.predict(df, {"en": b"the and", "de": b"der und"}), ["lang_pred", "score", "rejected"]),
+    "simhash": (simhash.fingerprints, ["fp"]),
+    "posteriors": (lambda df: mixing.posteriors(df, np.zeros((mixing.BUCKETS + mixing.SHAPES, 3))), ["n_tokens", "p_high"]),
+    "ppm": (lambda df: ppm.score(df, F.lit(True), order=2), ["score", "n_tokens"]),
+    "repeats": (repeats.without_repeats, ["n_bytes", "kept_sha256"]),
+    "media": (lambda df: media.with_pcm(df.withColumnRenamed("text", "media")), ["codec", "pcm"]),
+    "pii": (pii.with_spans, ["pii_spans"]),
+    "quality": (quality.with_quality, ["q_kept"]),
+}
+
+
+@pytest.mark.parametrize("name", MADE)
+def test_clashing_column_names(spark, name):
+    """A made column replaces a given one of its name; columns with the names of inner ones pass through."""
+    step, made = MADE[name]
+    inner = {c: f"v{i}" for i, c in enumerate(["row", "k1", "k2", "sha", "code", "word", "n", "in_", "row_", "spans", "copied", "Label", "text_"])}
+    got = step(frame(spark, ["some text and more", None, ""], **inner, **dict.fromkeys(made, "given"))).collect()
+    names = [c.lower() for c in got[0].asDict()]
+    assert len(names) == len(set(names)) == len(got[0]) and set(made) <= set(names)
+    assert all(r[c] == v for r in got for c, v in inner.items()) and sorted(r["doc_id"] for r in got) == [0, 1, 2]
+    assert not any(r[m] == "given" for r in got for m in made)
