@@ -11,18 +11,22 @@ first and the NEAR before it; buckets of more are then looked at again, and ever
 in which one is outside the bucket's largest component and both are in different ones. So a large group of
 copies does not make all of its pairs, and no pair of a bucket that could join two components is left out.
 
-Defined cases: texts without words are copies of each other; texts of fewer than five words are one
-shingle; a component's id is its smallest id that is not null; an empty table gives no rows.
+Defined cases: texts without words (a null text too) are copies of each other; texts of fewer than five words are one
+shingle; a component's id is its smallest id that is not null, its representative the row of that id whose
+text has the smallest digest (rows of equal id and text are alike); repeated ids with different texts are
+rows of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.llm.components import components
-from corpuscle.llm.shared import map_texts, stored
+from corpuscle.llm.shared import extended, stored
 from corpuscle.llm.simhash import SEED, links, majority, shingles
 
 WORDS = 5
@@ -47,12 +51,16 @@ def bands(hashes: np.ndarray) -> list[int]:
     return np.array([xxh64_intdigest(x.tobytes(), b) for b, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64).tolist()
 
 
+def text_key(text: Column) -> Column:
+    """128 bits of a text's SHA-256."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
+
+
 def sets(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of df without `text`, with set (a digest of the set of shingles), n (its size), fp, bands
-    and hashes, the set itself."""
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name != text)
+    """The rows of df without `text`, with text_key, set (a digest of the set of shingles), n (its size), fp,
+    bands and hashes, the set itself, in place of columns of these names."""
 
-    def step(rows, texts):
+    def step(texts):
         from xxhash import xxh64_intdigest
 
         made = []
@@ -60,10 +68,10 @@ def sets(df: DataFrame, text: str = "text") -> DataFrame:
             parts = list(shingles(x, WORDS))
             found = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
             digest, fp = np.array([xxh64_intdigest(found.tobytes(), SEED), majority(parts)], np.uint64).view(np.int64).tolist()
-            made.append((digest, len(found), fp, bands(found), found.view(np.int64)))
-        return [*rows.columns, *map(list, zip(*made))]
+            made.append((hashlib.sha256(x or b"").digest()[:16], digest, len(found), fp, bands(found), found.view(np.int64)))
+        return list(map(list, zip(*made)))
 
-    return map_texts(df, step, f"{fields}set long, n int, fp long, bands array<long>, hashes array<long>", text)
+    return extended(df, step, "text_key binary, set long, n int, fp long, bands array<long>, hashes array<long>", text)
 
 
 def _alike(n: str, m: str):
@@ -82,7 +90,7 @@ def confirmed(pairs: DataFrame, prints: DataFrame) -> DataFrame:
 
 
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, set, component_id of each row of df."""
+    """key, text_key, set, component_id, representative (boolean) of each row of df."""
     prints = stored(sets(df.select(key, text), text), "prints")
     # texts of one fingerprint, and the links of fingerprints
     first = stored(prints.groupBy("fp").agg(F.min("set").alias("first")), "fingerprints")
@@ -108,7 +116,9 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     more = large.join(outside, "bucket").where((F.col("root") != F.col("other")) & _alike("n", "m"))
     edges = edges.union(confirmed(more.select("u", F.col("set").alias("v")), prints))
     roots = components(edges)
-    least = stored(prints.groupBy("set").agg(F.min(key).alias("least")), "least")
+    me = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("text_key").alias("text_key"))
+    least = stored(prints.groupBy("set").agg(F.min(me).alias("least")), "least")
     rooted = least.join(roots.select(F.col("u").alias("set"), F.col("v").alias("root")), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select(key, "set").join(rooted.select("set", "root").join(named, "root").select("set", "component_id"), "set").select(key, "set", "component_id")
+    named = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    firsts = rooted.select("set", "root").join(named, "root").select("set", "first")
+    return prints.select(key, "text_key", "set").join(firsts, "set").select(key, "text_key", "set", F.col("first.key").alias("component_id"), (me == F.col("first")).alias("representative"))

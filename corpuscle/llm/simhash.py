@@ -1,9 +1,11 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
 Fingerprints are 64 majority bits over the XXH64 of 3-word shingles. Two fingerprints link at RADIUS or
-fewer differing bits. Equal fingerprints are grouped first. Of distinct ones, two that link agree in at
-least one of four 16-bit blocks, so each is compared with those that share a block with it: within a
-bucket the fingerprints are stored as 64 vertical bit planes, one fingerprint is held against 64 others at
+fewer differing bits. Equal fingerprints are grouped first. Of distinct ones, two that link differ in at most
+three of six blocks, so that they agree in three at least: for each of the twenty choices of three blocks,
+their 31 to 33 bits are a key, and a fingerprint is compared with those that share a key with it. Keys of that
+many bits keep buckets small at billions of fingerprints; what is shuffled are twenty pairs of numbers for
+each distinct fingerprint. Within a bucket the fingerprints are stored as 64 vertical bit planes, one fingerprint is held against 64 others at
 once, differences are counted in carry-save counters of two bits and an overflow, and words of 64 whose
 counters all have overflowed are abandoned. A bucket's links leave it as a forest (each member to the
 smallest it reaches there), never as all pairs. Buckets beyond TILE are dealt out as pairs of tiles, every
@@ -16,6 +18,8 @@ smallest id that is not null (null where all are); an empty table gives no rows.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +30,9 @@ from corpuscle.llm.shared import arrow_schema, documents, extended, stored
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
-BLOCKS, BLOCK_BITS = 4, 16
+#: Widths of the blocks, and the choices of as many blocks as RADIUS differing bits leave alone.
+BLOCKS = (11, 11, 11, 11, 10, 10)
+TABLES = list(combinations(range(len(BLOCKS)), len(BLOCKS) - RADIUS))
 TILE = 8192
 #: Words of 64 candidates that are compared in one step.
 STEP = 1 << 17
@@ -145,11 +151,19 @@ def forest(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return label
 
 
+def _key(table: int) -> Column:
+    """The number of a table and the bits of its blocks."""
+    key = F.lit(table).cast("long")
+    for b in TABLES[table]:
+        bits = F.shiftrightunsigned("fp", sum(BLOCKS[:b])).bitwiseAND(F.lit((1 << BLOCKS[b]) - 1))
+        key = F.shiftleft(key, BLOCKS[b]).bitwiseOR(bits)
+    return key
+
+
 def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
     """distinct: fp (long). Edges u, v between distinct fingerprints whose components are those of all
     links within RADIUS."""
-    block = F.explode(F.array(*(F.struct(F.lit(b).alias("b"), F.shiftrightunsigned("fp", BLOCK_BITS * b).bitwiseAND((1 << BLOCK_BITS) - 1).alias("k")) for b in range(BLOCKS))))
-    rows = distinct.select("fp", block.alias("x")).select("fp", (F.col("x.b") * (1 << BLOCK_BITS) + F.col("x.k")).cast("int").alias("bucket"))
+    rows = distinct.select("fp", F.explode(F.array(*map(_key, range(len(TABLES))))).alias("bucket"))
     large = rows.groupBy("bucket").count().where(F.col("count") > tile).select("bucket", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
     rows = rows.join(large, "bucket", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     mine = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
@@ -192,7 +206,7 @@ def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
 def with_components(prints: DataFrame, key: str = "doc_id", tile: int = TILE) -> DataFrame:
     """prints: key and fp, a row for each document. Returns key, fp, component_id."""
     groups = stored(prints.groupBy("fp").agg(F.min(key).alias("least")), "fingerprints")
-    roots = components(links(groups.select("fp"), tile), BLOCKS * groups.count()).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    roots = components(links(groups.select("fp"), tile), len(TABLES) * groups.count()).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
