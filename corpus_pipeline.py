@@ -4,9 +4,10 @@ Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a
 as Parquet to the shared folder and rereads it as the next stage's docs. All stages but the last return the
 columns of docs.
 
-Defined cases, for every stage: rows without an id stay (stage 2 cannot name them as copies, stage 4 has no
-key to draw by); of rows with equal id and text stage 2 keeps one; an empty table passes through; columns
-of docs beside doc_id and text pass through whatever they are called.
+Defined cases, for every stage: every row is decided by itself, whether or not it shares its id with others;
+of rows with equal id and text stage 2 keeps one; stage 4 may return a row more than once; rows without an id
+are treated like any other (stage 2 prefers rows that have one); an empty table passes through; columns of docs
+beside doc_id and text pass through whatever they are called.
 """
 
 from __future__ import annotations
@@ -17,11 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.llm import copies, langid, mixing, packing, pii
-from corpuscle.llm.shared import shared_dir, stored
-
-#: Tokens beyond those that the first domain has: with a few to spare, its documents have rates of one
-#: and more, and none of them is left out by chance.
-SPARE = 1.06
+from corpuscle.llm.shared import shared_dir, stored, tucked, untucked
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +32,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (five-word shingles, similarity 0.8) the document with the smallest id
-    stays."""
-    groups = stored(copies.near_copies(docs), "groups")
-    out = docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
-    if not groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(out.where("doc_id IS NULL"))
-    return out.select(*docs.columns)
+    stays, and of its rows the one whose text has the smallest digest."""
+    groups = stored(copies.near_copies(docs).where("representative").select(F.col("doc_id").alias("id_"), "text_key"), "groups")
+    rows, names = tucked(docs, "text", id_=F.col("doc_id"), text_key=copies.text_key(F.col("text")))
+    other = groups.distinct().select(F.col("id_").alias("other"), F.col("text_key").alias("key"))
+    kept = rows.join(other, F.col("id_").eqNullSafe(F.col("other")) & (F.col("text_key") == F.col("key")), "left_semi")
+    if groups.count() > other.count():  # some rows are alike in id and text
+        kept = kept.dropDuplicates(["id_", "text_key"])
+    return untucked(kept, names, {"text": F.col("text")}).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +51,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are taken by their rates, none more than once."""
-    rates = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), spare=SPARE)
-    left_out = rates.where(mixing.copies(F.col("doc_id"), F.col("rate")) < 1).select("doc_id").distinct()
-    return docs.join(left_out, "doc_id", "left_anti").select(*docs.columns)
+    """Each document as often as its rate says: once, if it wholly belongs to the first domain."""
+    return mixing.taken(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
