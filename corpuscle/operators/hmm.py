@@ -1,7 +1,8 @@
 """Hidden Markov model: estimation by counts, Viterbi tagging in log2 space, runs of a tag.
 
-The model (tags, transitions, emissions) is small and fixed; sentences are rows. Tagging works within a row:
-with built-in functions, or with an Arrow UDF for large tag sets. Ties go to the larger tag.
+Sentences are rows and are tagged within a row: `tagged` keeps the dictionary as a table, `viterbi` takes a
+small model as literals, both with built-in functions; `viterbi_udf` is an Arrow UDF for large tag sets. Ties go
+to the larger tag.
 """
 
 from __future__ import annotations
@@ -61,28 +62,54 @@ def _literal_map(pairs: dict[str, float]) -> Column:
     return F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))
 
 
-def viterbi(words: Column, m: Model) -> Column:
-    """The likeliest tags of an array of words, as struct<lp double, tags array<string>>; null if no path
-    has a probability. Built-in functions only: a fold over the words whose state is, for each tag that can
-    be reached, the best path that ends there."""
+def _likeliest(items: Column, m: Model, emitted) -> Column:
+    """A fold over an array whose state is, for each tag that can be reached, the best path that ends there.
+    emitted(item, tag): the log probability of an item, null if it is impossible."""
     state = "array<struct<lp:double,tag:string,path:array<string>>>"
-    emit = {t: _literal_map({w: p for (w, t_), p in m.emit.items() if t_ == t}) for t in m.tags}
     trans = {t: _literal_map({a: p for (a, b), p in m.trans.items() if b == t}) for t in (*m.tags, END)}
 
     def best(states: Column, to: str, bonus: Column) -> Column:
         reached = F.filter(F.transform(states, lambda s: F.struct((s["lp"] + trans[to][s["tag"]] + bonus).alias("lp"), s["tag"].alias("from_"), s["path"].alias("path"))), lambda x: x["lp"].isNotNull())
         return F.array_max(reached)
 
-    def step(states: Column, word: Column) -> Column:
+    def step(states: Column, item: Column) -> Column:
         def one(tag: str) -> Column:
-            b = best(states, tag, emit[tag][word])
+            b = best(states, tag, emitted(item, tag))
             return F.struct(b["lp"].alias("lp"), F.lit(tag).alias("tag"), F.concat(b["path"], F.array(F.lit(tag))).alias("path"))
 
         return F.filter(F.array(*(one(t) for t in m.tags)), lambda s: s["lp"].isNotNull()).cast(state)
 
     start = F.array(F.struct(F.lit(0.0).alias("lp"), F.lit(BEGIN).alias("tag"), F.array().cast("array<string>").alias("path"))).cast(state)
-    final = best(F.aggregate(words, start, step), END, F.lit(0.0))
-    return F.when(final.isNotNull() & (F.size(words) > 0), F.struct(final["lp"].alias("lp"), final["path"].alias("tags")))
+    final = best(F.aggregate(items, start, step), END, F.lit(0.0))
+    return F.when(final.isNotNull() & (F.size(items) > 0), F.struct(final["lp"].alias("lp"), final["path"].alias("tags")))
+
+
+def viterbi(words: Column, m: Model) -> Column:
+    """The likeliest tags of an array of words, as struct<lp double, tags array<string>>; null if no path
+    has a probability. Built-in functions only; the model's emissions are literals, so the dictionary must be
+    small."""
+    emit = {t: _literal_map({w: p for (w, t_), p in m.emit.items() if t_ == t}) for t in m.tags}
+    return _likeliest(words, m, lambda word, tag: emit[tag][word])
+
+
+def tagged(rows: DataFrame, key: str, order: list[str], transitions_: DataFrame, emissions_: DataFrame) -> DataFrame:
+    """key, words, v (struct<lp, tags>) of sentences (key, order..., word). The dictionary stays a table, a
+    row for each word with its log probabilities by tag, and is joined to the words; only the transitions, of
+    a size set by the tag set, meet the driver. Built-in functions only."""
+    m = model(transitions_, emissions_.limit(0))
+    by_tag = [F.max(F.when((F.col("tag") == t) & (F.col("p") > 0), F.log2("p"))) for t in m.tags]
+    wide = emissions_.groupBy("word").agg(F.array(*by_tag).alias("e_"))
+    items = rows.select(key, *order, "word").join(wide, "word", "left").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, "word", "e_"))).alias("w_"))
+    place = {t: i for i, t in enumerate(m.tags)}
+    found = _likeliest(F.transform("w_", lambda x: x["e_"]), m, lambda e, tag: F.get(e, F.lit(place[tag])))
+    return items.select(key, F.transform("w_", lambda x: x["word"]).alias("words"), found.alias("v"))
+
+
+def named_entities(rows: DataFrame, key: str, order: list[str], transitions_: DataFrame, emissions_: DataFrame, tag: str = "NNP") -> DataFrame:
+    """key, start (0-based place), text: sentences are tagged, and maximal runs of `tag` joined."""
+    found = tagged(rows, key, order, transitions_, emissions_).where("v IS NOT NULL")
+    both = F.zip_with("words", "v.tags", lambda w, t: F.struct(w.alias("word"), t.alias("tag")))
+    return runs(found.select(key, F.posexplode(both).alias("pos", "x")).select(key, "pos", "x.word", "x.tag"), tag, key)
 
 
 def viterbi_udf(m: Model):

@@ -1,7 +1,8 @@
 """Posting lists: scored intersection and union, gaps and their code lengths.
 
 All intersection strategies are one inner join on doc_id with added scores; a strategy only names a
-physical hint, and `hybrid` leaves the choice to the adaptive planner.
+physical hint: the merging ones sort both lists, the searching ones hash the second list, `hybrid` leaves the
+choice to the adaptive planner, which knows the lists' sizes.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Strategy -> join hint of the longer list. Searching strategies build on the shorter side.
+#: Strategy -> join hint of the second list.
 STRATEGIES = {"basic": "merge", "less_conditional": "merge", "sentinel": "merge", "skip_pointer": "merge", "binary_search": "shuffle_hash", "galloping": "shuffle_hash", "hybrid": None}
 
 
@@ -44,12 +45,12 @@ def counted_union(lists: list[DataFrame], key: str = "word_id") -> DataFrame:
     return reduce(DataFrame.unionByName, (x.select(key) for x in lists)).groupBy(key).agg(F.count("*").alias("cnt"))
 
 
-def gaps(postings: DataFrame, size: int = 1 << 16) -> DataFrame:
-    """term, doc_id, gap: the distance to the term's previous id (of the first: the id itself). A term's
-    list is cut into ranges of ids, so that a term of every document has many tasks; the ranges' last ids
-    are linked by a second, small window."""
-    rows = postings.select("term", "doc_id").withColumn("range_", F.floor(F.col("doc_id") / size))
+def gaps(postings: DataFrame, size: int = 1 << 16, keep: tuple[str, ...] = ()) -> DataFrame:
+    """term, doc_id, keep..., gap: the distance to the term's previous id (of the first: the id itself). A
+    term's list is cut into ranges of ids, so that a term of every document has many tasks; the ranges' last
+    ids are linked by a second, small window."""
+    rows = postings.select("term", "doc_id", *keep).withColumn("range_", F.floor(F.col("doc_id") / size))
     inner = Window.partitionBy("term", "range_").orderBy("doc_id")
     ends = rows.groupBy("term", "range_").agg(F.max("doc_id").alias("end_"))
     ends = ends.withColumn("before_", F.lag("end_", 1, 0).over(Window.partitionBy("term").orderBy("range_"))).drop("end_")
-    return rows.withColumn("prev_", F.lag("doc_id").over(inner)).join(ends, ["term", "range_"]).select("term", "doc_id", (F.col("doc_id") - F.coalesce("prev_", "before_")).alias("gap"))
+    return rows.withColumn("prev_", F.lag("doc_id").over(inner)).join(ends, ["term", "range_"]).select("term", "doc_id", *keep, (F.col("doc_id") - F.coalesce("prev_", "before_")).alias("gap"))

@@ -25,16 +25,21 @@ def query_terms(spark: SparkSession, queries: dict[str, str], stop: tuple[str, .
 
 def boolean_and(docs: DataFrame, queries: dict[str, str], text: str = "text") -> DataFrame:
     """query, doc_id of documents that hold all words of a query. An empty query has no results."""
-    asked, only = query_terms(docs.sparkSession, queries)
-    needed = asked.groupBy("query").agg(F.count("*").alias("need"))
     found = docs.select("doc_id", F.explode(F.array_distinct(terms_of(F.col(text)))).alias("term"))
-    found = found.where(F.col("term").isin(*only) if only else F.lit(False)).join(F.broadcast(asked), "term")
-    return found.groupBy("query", "doc_id").count().join(F.broadcast(needed), "query").where("count = need").select("query", "doc_id")
+    return all_words(found, queries)
+
+
+def all_words(entries: DataFrame, queries: dict[str, str]) -> DataFrame:
+    """The same from term, doc_id, a row for each pair."""
+    asked, only = query_terms(entries.sparkSession, queries)
+    needed = asked.groupBy("query").agg(F.count("*").alias("need"))
+    found = entries.where(F.col("term").isin(*only) if only else F.lit(False)).join(asked, "term")
+    return found.groupBy("query", "doc_id").count().join(needed, "query").where("count = need").select("query", "doc_id")
 
 
 def ranked(postings: DataFrame, asked: DataFrame) -> DataFrame:
     """query, doc_id, score: sums over a query's words, a repeated word counting twice."""
-    return postings.join(F.broadcast(asked), "term").groupBy("query", "doc_id").agg(F.sum(F.col("score") * F.col("qtf")).alias("score"))
+    return postings.join(asked, "term").groupBy("query", "doc_id").agg(F.sum(F.col("score") * F.col("qtf")).alias("score"))
 
 
 def top(results: DataFrame, k: int | None = None, places: int = 6) -> DataFrame:

@@ -79,11 +79,16 @@ def parse(query: str) -> Pattern:
     return Pattern(tuple(triples), tuple(select), limit)
 
 
+def _literal(text: str) -> str:
+    """A string literal of Spark SQL, in which a backslash escapes and a quote is doubled."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "''") + "'"
+
+
 def conditions(pattern: Pattern) -> tuple[list[str], dict[str, str]]:
     """SQL conditions over aliases f0, f1, ..., and the column of each variable's first place."""
     out, first = [], {}
     for i, triple in enumerate(pattern.triples):
-        out += [f"f{i}.{c}='{v.replace(chr(39), chr(39) * 2)}'" for c, (kind, v) in zip(PLACES, triple, strict=True) if kind == "text"]
+        out += [f"f{i}.{c}={_literal(v)}" for c, (kind, v) in zip(PLACES, triple, strict=True) if kind == "text"]
     for i, triple in enumerate(pattern.triples):
         for c, (kind, v) in zip(PLACES, triple, strict=True):
             if kind == "var" and first.setdefault(v, f"f{i}.{c}") != f"f{i}.{c}":

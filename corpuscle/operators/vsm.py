@@ -26,5 +26,5 @@ def normalised(matrix: DataFrame, norm: str = "none") -> DataFrame:
 def query(matrix: DataFrame, asked: DataFrame) -> DataFrame:
     """query, doc_id, score: the product of each query's term frequencies (query, term, qtf) with the
     matrix; documents with score 0 are left out."""
-    hit = matrix.join(F.broadcast(asked), "term").groupBy("query", "doc_id").agg(F.sum(F.col("v") * F.col("qtf")).alias("score"))
+    hit = matrix.join(asked, "term").groupBy("query", "doc_id").agg(F.sum(F.col("v") * F.col("qtf")).alias("score"))
     return hit.where("score <> 0")

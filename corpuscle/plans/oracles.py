@@ -55,11 +55,12 @@ def _list(term: str) -> str:
     return f"(SELECT doc_id, tf AS score FROM tf WHERE term = '{term}')"
 
 
-MEASURES = f"""WITH {_weights('bm25')},
+def _measures(weights: str, score: str, table: str) -> str:
+    return f"""WITH {weights},
 b AS (SELECT CAST(item_id AS VARCHAR) AS query, text, list_filter(string_split_regex(text, '[^a-zA-Z]+'), lambda x: x <> '') AS ws FROM benchmark),
 rel AS (SELECT query, doc_id FROM b JOIN documents d ON contains(d.text, b.text)),
 q AS (SELECT query, term, count(*) AS qtf FROM (SELECT query, lower(unnest(ws[2:4])) AS term FROM b WHERE query IN (SELECT query FROM rel)) GROUP BY ALL),
-r AS ({RANKED.format(score='score', table='w')}),
+r AS ({RANKED.format(score=score, table=table)}),
 k AS (SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id DESC) AS rank, count(*) OVER (PARTITION BY query) AS n FROM r),
 rr AS (SELECT query, count(*) AS r FROM rel GROUP BY 1),
 h AS (SELECT query, rank, n, r, row_number() OVER (PARTITION BY query ORDER BY rank) AS seen FROM k JOIN rel USING (query, doc_id) JOIN rr USING (query)),
@@ -70,6 +71,11 @@ m AS (SELECT query,
   FROM rr GROUP BY query)
 """
 
+
+MEASURES = _measures(_weights("bm25"), "score", "w")
+COSINE = "c AS (SELECT term, doc_id, score / sqrt(sum(score * score) OVER (PARTITION BY doc_id)) AS v FROM w WHERE score <> 0)"
+VSM_MEASURES = _measures(f"{_weights('tfidf')}, {COSINE}", "v", "c")
+
 NORMAL = r"regexp_replace(lower({0}), '\W', '', 'g')"
 
 
@@ -129,7 +135,39 @@ tr AS (SELECT tag1, tag2, count(*) / sum(count(*)) OVER (PARTITION BY tag1) AS p
 em AS (SELECT word, tag, count(*) / sum(count(*)) OVER (PARTITION BY tag) AS p FROM t GROUP BY word, tag)"""
 
 
-def sql(searches: dict[str, str], fuzzy: list[tuple], buckets: tuple[float, ...]) -> dict[str, str]:
+def _held_out() -> str:
+    learned = NB.replace("(SELECT doc_id, quality AS class FROM labels)", "(SELECT doc_id, quality AS class FROM labels WHERE doc_id % 3 <> 0)").replace("FROM labels JOIN documents USING (doc_id)", "FROM labels JOIN documents USING (doc_id) WHERE doc_id % 3 <> 0")
+    return f"""WITH {learned}, {NB_PREDICTED.format(prior='0')}, pairs AS (SELECT said.class AS said, labels.quality AS truth FROM said JOIN labels USING (doc_id) WHERE doc_id % 3 = 0),
+m AS (SELECT class, tp / (sn + 1e-7) AS precision, tp / (tn + 1e-7) AS recall FROM (SELECT cl.class, count(*) FILTER (said = class AND truth = class) AS tp, count(*) FILTER (said = class) AS sn, count(*) FILTER (truth = class) AS tn FROM cl CROSS JOIN pairs GROUP BY 1))
+SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(2 * precision * recall / (precision + recall + 1e-7), 6) AS f1 FROM m"""
+
+
+def _kmeans(rounds: int) -> str:
+    """Common table expressions a1, a2, ... of the assignments in each round."""
+    out = [CENTRES.replace("cm AS", "cm0 AS"), "e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)"]
+    for k in range(rounds):
+        out.append(f"s{k} AS (SELECT vec_id, cluster, round(sum(e.x * cm{k}.x), 9) AS sim FROM e JOIN cm{k} USING (dim) GROUP BY ALL)")
+        out.append(f"a{k + 1} AS (SELECT vec_id, cluster FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, cluster DESC) AS k FROM s{k}) WHERE k = 1)")
+        out.append(f"cm{k + 1} AS (SELECT cluster, dim, coalesce(m.x, cm{k}.x) AS x FROM cm{k} LEFT JOIN (SELECT cluster, dim, avg(x) AS x FROM a{k + 1} JOIN e USING (vec_id) GROUP BY ALL) m USING (cluster, dim))")
+    return ", ".join(out[:-1])
+
+
+def _choice(penalty: float) -> str:
+    one = "SELECT CAST({k} AS BIGINT) AS k, sum((x - m) * (x - m)) AS rss FROM (SELECT x, avg(x) OVER (PARTITION BY label % {k}, dim) AS m FROM e)"
+    return f"""WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings), r AS ({' UNION ALL '.join(one.format(k=k) for k in (2, 4, 8))})
+SELECT k, round(rss, 4) AS rss, row_number() OVER (ORDER BY rss + {penalty} * k, k) = 1 AS chosen FROM r"""
+
+
+VITERBI = """vit AS (SELECT n.sent_id, n.k, tr.tag2 AS tag, log2(tr.p) + log2(em.p) AS lp, tr.tag2 AS path FROM n JOIN tr ON tr.tag1 = 'BEG' JOIN em ON em.word = n.word AND em.tag = tr.tag2 WHERE n.k = 1
+UNION ALL
+SELECT sent_id, k, tag, lp, path FROM (SELECT n.sent_id, n.k, tr.tag2 AS tag, v.lp + log2(tr.p) + log2(em.p) AS lp, v.path || ' ' || tr.tag2 AS path,
+  row_number() OVER (PARTITION BY n.sent_id, tr.tag2 ORDER BY v.lp + log2(tr.p) DESC, v.tag DESC) AS best
+  FROM vit v JOIN n ON n.sent_id = v.sent_id AND n.k = v.k + 1 JOIN tr ON tr.tag1 = v.tag JOIN em ON em.word = n.word AND em.tag = tr.tag2) WHERE best = 1),
+fin AS (SELECT v.sent_id, v.lp + log2(tr.p) AS lp, v.path, row_number() OVER (PARTITION BY v.sent_id ORDER BY v.lp + log2(tr.p) DESC, v.tag DESC) AS best
+  FROM vit v JOIN tr ON tr.tag1 = v.tag AND tr.tag2 = 'END' JOIN (SELECT sent_id, max(k) AS k FROM n GROUP BY 1) l ON l.sent_id = v.sent_id AND l.k = v.k)"""
+
+
+def sql(searches: dict[str, str], fuzzy: list[tuple], buckets: tuple[float, ...], entity: str, rounds: int, penalty: float) -> dict[str, str]:
     tagged, asked, found = _tagged(buckets), _asked(searches), _fuzzy(fuzzy)
     out = {
         "word_freq": f"WITH {TOKENS} SELECT term, count(*) AS freq FROM tok GROUP BY 1",
@@ -150,7 +188,7 @@ def sql(searches: dict[str, str], fuzzy: list[tuple], buckets: tuple[float, ...]
         "qrels_build": "SELECT CAST(item_id AS VARCHAR) AS query, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
         "precision_at_3": f"{MEASURES} SELECT query, round(p_at_k, 6) AS p_at_k FROM m", "precision_at_r": f"{MEASURES} SELECT query, round(p_at_r, 6) AS p_at_r FROM m", "average_precision": f"{MEASURES} SELECT query, round(ap, 6) AS ap FROM m",
         "mean_measures": f"{MEASURES} SELECT round(avg(p_at_k), 6) AS mp_at_k, round(avg(p_at_r), 6) AS mp_at_r, round(avg(ap), 6) AS map FROM m",
-        "vsm_query_topk": f"""WITH {_weights('tfidf')}, {asked}, c AS (SELECT term, doc_id, score / sqrt(sum(score * score) OVER (PARTITION BY doc_id)) AS v FROM w WHERE score <> 0),
+        "vsm_query_topk": f"""WITH {_weights('tfidf')}, {asked}, {COSINE},
 r AS ({RANKED.format(score='v', table='c')}) SELECT query, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id DESC) AS rank FROM r) WHERE rank <= 10""",
         "qgram_index": f"WITH e AS (SELECT p_partkey AS word_id, p_name FROM part), y AS ({_grams('e', 'p_name', 'word_id')}) SELECT qgram, word_id, count(*) AS n FROM y GROUP BY ALL",
         "qgram_candidates": f"{found} SELECT x, cnt, count(*) AS n FROM c GROUP BY ALL",
@@ -176,15 +214,20 @@ SELECT query, rank, doc_id, text[1:40] AS head FROM (SELECT *, row_number() OVER
         "sparql_limit": f"WITH {GRAPH} SELECT a.s AS c, b.o AS n FROM g a JOIN g b ON a.s = b.s WHERE a.p = 'segment' AND a.o = 'MACHINERY' AND b.p = 'nation' ORDER BY c LIMIT 10",
         "sparql_sql_text": f"WITH {GRAPH} SELECT a.s AS o FROM g a JOIN g b ON a.o = b.s JOIN g c ON c.s = a.s WHERE a.p = 'placed by' AND b.p = 'segment' AND b.o = 'BUILDING' AND c.p = 'status' AND c.o = 'P'",
         "hmm_transitions": f"WITH {tagged} SELECT tag1, tag2, round(p, 9) AS p FROM tr", "hmm_emissions": f"WITH {tagged} SELECT word, tag, round(p, 9) AS p FROM em",
-        "viterbi": f"""WITH RECURSIVE {tagged},
-vit AS (SELECT n.sent_id, n.k, tr.tag2 AS tag, log2(tr.p) + log2(em.p) AS lp, tr.tag2 AS path FROM n JOIN tr ON tr.tag1 = 'BEG' JOIN em ON em.word = n.word AND em.tag = tr.tag2 WHERE n.k = 1
-UNION ALL
-SELECT sent_id, k, tag, lp, path FROM (SELECT n.sent_id, n.k, tr.tag2 AS tag, v.lp + log2(tr.p) + log2(em.p) AS lp, v.path || ' ' || tr.tag2 AS path,
-  row_number() OVER (PARTITION BY n.sent_id, tr.tag2 ORDER BY v.lp + log2(tr.p) DESC, v.tag DESC) AS best
-  FROM vit v JOIN n ON n.sent_id = v.sent_id AND n.k = v.k + 1 JOIN tr ON tr.tag1 = v.tag JOIN em ON em.word = n.word AND em.tag = tr.tag2) WHERE best = 1),
-fin AS (SELECT v.sent_id, v.lp + log2(tr.p) AS lp, v.path, row_number() OVER (PARTITION BY v.sent_id ORDER BY v.lp + log2(tr.p) DESC, v.tag DESC) AS best
-  FROM vit v JOIN tr ON tr.tag1 = v.tag AND tr.tag2 = 'END' JOIN (SELECT sent_id, max(k) AS k FROM n GROUP BY 1) l ON l.sent_id = v.sent_id AND l.k = v.k)
-SELECT sent_id, round(lp, 6) AS lp, path AS tags FROM fin WHERE best = 1""",
+        "viterbi": f"WITH RECURSIVE {tagged}, {VITERBI} SELECT sent_id, round(lp, 6) AS lp, path AS tags FROM fin WHERE best = 1",
+        "named_entities": f"""WITH RECURSIVE {tagged}, {VITERBI}, p AS (SELECT sent_id, string_split(path, ' ') AS t FROM fin WHERE best = 1),
+u AS (SELECT sent_id, unnest(t) AS tag, generate_subscripts(t, 1) AS k FROM p),
+r AS (SELECT sent_id, k, word, k - row_number() OVER (PARTITION BY sent_id ORDER BY k) AS island FROM u JOIN (SELECT sent_id, k, word FROM n) USING (sent_id, k) WHERE tag = '{entity}')
+SELECT sent_id, min(k) - 1 AS start, string_agg(word, ' ' ORDER BY k) AS text FROM r GROUP BY sent_id, island""",
+        "index_build": f"WITH {TOKENS}, v AS (SELECT DISTINCT term FROM tok) SELECT (SELECT count(*) FROM tf) AS postings, count(*) AS words, CAST(sum(length(term) + 2) AS BIGINT) AS qgrams FROM v",
+        "vsm_mean_measures": f"{VSM_MEASURES} SELECT round(avg(p_at_k), 6) AS mp_at_k, round(avg(p_at_r), 6) AS mp_at_r, round(avg(ap), 6) AS map FROM m",
+        "fuzzy_complete": f"""{found[: found.index("f AS (SELECT c.x AS raw")]}f AS (SELECT a.x AS raw, e.word_id, e.name, e.score, e.description, a.delta, {NORMAL.format('a.x')} AS x, {NORMAL.format('name')} AS y FROM a CROSS JOIN e LEFT JOIN c ON c.x = a.x AND c.word_id = e.word_id
+      WHERE (cnt >= length({NORMAL.format('a.x')}) - 1 - a.delta * 3 OR length({NORMAL.format('a.x')}) - 1 - a.delta * 3 <= 0) AND (a.delta > 0 OR starts_with({NORMAL.format('name')}, {NORMAL.format('a.x')}))),
+p AS (SELECT raw AS x, word_id, name, score, description, delta, CAST({PED} AS BIGINT) AS ped FROM f)
+SELECT x, word_id, name, score, description, ped FROM p WHERE ped <= delta""",
+        "nb_held_out": _held_out(),
+        "nb_top_words_stop": f"WITH {NB} SELECT class, rank, word, round(p_wc, 9) AS p_wc FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY p_wc DESC, word) AS rank FROM p WHERE word NOT IN ({STOP})) WHERE rank <= 20",
+        "kmeans_rounds": f"WITH {_kmeans(rounds)} SELECT vec_id, cluster FROM a{rounds}", "kmeans_choice": _choice(penalty),
         "tag_runs": f"""WITH {tagged}, r AS (SELECT sent_id, k, word, k - row_number() OVER (PARTITION BY sent_id ORDER BY k) AS island FROM n WHERE tag = 'purchase')
 SELECT sent_id, min(k) AS start, string_agg(word, ' ' ORDER BY k) AS text FROM r GROUP BY sent_id, island""",
         "kmeans_assign": f"WITH {ASSIGNED} SELECT vec_id, cluster FROM a",
@@ -196,6 +239,7 @@ SELECT term, count(*) AS df, CAST(sum(2 * l + 1) AS BIGINT) AS gamma_bits, CAST(
   CAST(sum(floor(gap * (df / n) / ln(2)) + 1 + greatest(ceil(log2(ln(2) / (df / n))), 0)) AS BIGINT) AS golomb_bits FROM b, st GROUP BY term""",
         "term_entropy": f"WITH {TOKENS}, f AS (SELECT term, count(*) AS n FROM tok GROUP BY 1), s AS (SELECT sum(n) AS a FROM f) SELECT round(-sum(n / a * log2(n / a)), 6) AS entropy FROM f, s",
     }
+    out["boolean_and_scan"] = out["boolean_and"]
     for name in ("basic", "less_conditional", "sentinel", "skip_pointer", "binary_search", "galloping", "hybrid"):
         out[f"posting_intersect_{name}"] = f"WITH {TOKENS} SELECT doc_id, CAST(a.score + b.score AS BIGINT) AS score FROM {_list('the')} a JOIN {_list('hewh')} b USING (doc_id)"
     for name, side, norm in (("none", "", "1"), ("col_l1", "doc_id", "sum(abs(score))"), ("col_l2", "doc_id", "sqrt(sum(score * score))"), ("row_l1", "term", "sum(abs(score))"), ("row_l2", "term", "sqrt(sum(score * score))")):

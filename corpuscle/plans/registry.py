@@ -1,4 +1,8 @@
-"""Queries over the driver's tables, one for each operator or variant; SQL twins are in `oracles`."""
+"""Queries over the driver's tables, one for each operator or variant; SQL twins are in `oracles`.
+
+Searches, list operations and fuzzy matches run on a stored index, as they would where an index is built once
+and asked often: the first such query of a session over a folder builds it (`index_build` does so anew).
+"""
 
 from __future__ import annotations
 
@@ -7,14 +11,21 @@ from math import inf
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from corpuscle.functions import text as T
-from corpuscle.operators import bayes, cluster, evaluate, fuzzy, hmm, index, lsi, postings, search, triples, vsm
-from corpuscle.plans import oracles
+from corpuscle.operators import bayes, cluster, evaluate, fuzzy, hmm, index, lsi, postings, search, stored, triples, vsm
+from corpuscle.plans import files, oracles
+from corpuscle.sources.storage import new_path
 
 SEARCHES = {"q1": "the and of", "q2": "hewh onthe erly", "q3": "de la que", "q4": "licensed under the license"}
 FUZZY = [("lic", 1), ("vers", 1), ("releas", 2), ("the", 0)]
 CODED = ("the", "de", "hewh")
+#: The tag of entities, and the rounds that k-means takes in a query.
+ENTITY = "click"
+ROUNDS = 3
+#: What a cluster costs, beside the residual sum of squares.
+PENALTY = 5.0
 VITERBI_BUCKETS = (10.0, 30.0, 60.0, 120.0)
 LSI_TERMS = lsi.MAX_TERMS
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +39,30 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
+_indexes: dict[tuple[str, str], stored.Index] = {}
+
+
+def _index(spark: SparkSession, d: str, anew: bool = False) -> stored.Index:
+    """The stored index of a folder's documents: one for each application."""
+    at = (spark.sparkContext.applicationId, d)
+    if at in _indexes and not anew:
+        try:
+            found = stored.Index(spark, _indexes[at].path)
+            found.stats()
+            return found
+        except AnalysisException:  # its folder is gone
+            pass
+    _indexes[at] = stored.build(_docs(spark, d), new_path(spark, "index"))
+    return _indexes[at]
+
+
+def index_build(spark, d):
+    """Builds the stored index; its numbers of postings, words and q-grams."""
+    made = _index(spark, d, anew=True)
+    counts = [made.entries().count(), made.words().count(), made.qgrams().count()]
+    return spark.createDataFrame([tuple(counts)], "postings long, words long, qgrams long")
+
+
 def word_freq(spark, d):
     return index.word_frequencies(_docs(spark, d))
 
@@ -56,6 +91,11 @@ def stop_word_filter(spark, d):
 
 
 def boolean_and(spark, d):
+    return search.all_words(_index(spark, d).entries(), SEARCHES)
+
+
+def boolean_and_scan(spark, d):
+    """The same from the texts, without an index."""
     return search.boolean_and(_docs(spark, d), SEARCHES)
 
 
@@ -64,7 +104,7 @@ def boolean_and_titles(spark, d):
     from pyspark.sql.window import Window
 
     docs = _docs(spark, d)
-    hits = search.boolean_and(docs, SEARCHES).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("doc_id")).cast("long")).where("rank <= 3")
+    hits = boolean_and(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("doc_id")).cast("long")).where("rank <= 3")
     return docs.select("doc_id", F.substring("text", 1, 40).alias("head")).join(F.broadcast(hits), "doc_id").select("query", "rank", "doc_id", "head")
 
 
@@ -72,13 +112,23 @@ def bm25_postings(spark, d):
     return _rounded(index.postings(_docs(spark, d)), "score")
 
 
-def _topk(kind: str, k: float = 1.75, stop: tuple[str, ...] = ()) -> Query:
-    return lambda spark, d: search.top(search.search(_docs(spark, d), SEARCHES, kind, k=k, stop=stop), 10)
+def _asked_of(spark, d: str, queries: dict[str, str], kind: str = "bm25", k: float = 1.75) -> DataFrame:
+    """query, doc_id, score from the stored index."""
+    asked, only = search.query_terms(spark, queries)
+    return search.ranked(_index(spark, d).postings(kind, k=k, only=only), asked)
+
+
+def _topk(kind: str, k: float = 1.75) -> Query:
+    return lambda spark, d: search.top(_asked_of(spark, d, SEARCHES, kind, k), 10)
+
+
+def bm25_stopwords(spark, d):
+    """Without stop words documents have other lengths: from the texts."""
+    return search.top(search.search(_docs(spark, d), SEARCHES, stop=T.STOP_WORDS), 10)
 
 
 def _lists(spark, d: str, *terms: str) -> list[DataFrame]:
-    tf = index.term_frequencies(index.measured(_docs(spark, d)), list(terms))
-    return [tf.where(F.col("term") == t).select("doc_id", F.col("tf").alias("score")) for t in terms]
+    return _index(spark, d).lists(*terms)
 
 
 def _intersect(strategy: str) -> Query:
@@ -105,7 +155,7 @@ def counted_union(spark, d):
 
 
 def posting_strings(spark, d):
-    """The list of each document's most frequent words as a string, in the form of a printed posting list."""
+    """Lists of parts (key, size) by name as strings, in the form of a printed posting list."""
     part = spark.read.parquet(f"{d}/part.parquet")
     lists = part.groupBy("p_name").agg(F.sort_array(F.collect_list(F.struct(F.col("p_partkey").alias("doc_id"), F.col("p_size").alias("score")))).alias("l"))
     return lists.select("p_name", T.posting_string(F.col("l")).alias("postings"))
@@ -116,18 +166,38 @@ def _passages(spark, d: str) -> DataFrame:
 
 
 def qrels_build(spark, d):
-    """query (a benchmark passage's number) and the documents that hold the whole passage. A first word
-    of the passage narrows the documents before texts are held against it."""
-    passages = F.broadcast(_passages(spark, d).select(F.col("item_id").cast("string").alias("query"), F.col("text").alias("passage"), F.lower(F.get(T.words(F.col("text")), F.lit(1))).alias("word")))
-    docs = _docs(spark, d).select("doc_id", "text", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("word"))
-    return docs.join(passages, "word").where(F.contains("text", "passage")).select("query", "doc_id")
+    """query (a benchmark passage's number) and the documents that hold the whole passage. The longest word
+    inside a passage, which is a whole word of any text that holds it, narrows the documents before texts are
+    held against it; passages without such a word (of one or two words) are held against every text."""
+    words = T.words(F.col("text"))
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), F.lower(w).alias("w"))))["w"]
+    passages = _passages(spark, d).select(F.col("item_id").cast("string").alias("query"), F.col("text").alias("passage"), longest.alias("word"))
+    docs = _docs(spark, d).select("doc_id", "text").where("text IS NOT NULL")
+    narrowed = docs.select("doc_id", "text", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("word")).join(passages.where("word IS NOT NULL"), "word")
+    whole = docs.join(passages.where("word IS NULL").select("query", "passage"), F.contains("text", "passage"))
+    return narrowed.where(F.contains("text", "passage")).select("query", "doc_id").unionByName(whole.select("query", "doc_id"))
+
+
+def _asked_passages(spark, d: str) -> tuple[dict[str, str], DataFrame]:
+    """Queries that have relevant documents (their words are a passage's second to fourth), and those."""
+    qrels = stored.stored(qrels_build(spark, d), "qrels")
+    rows = _passages(spark, d).select(F.col("item_id").cast("string").alias("query"), F.slice(T.words(F.col("text")), 2, 3).alias("w")).join(qrels, "query", "left_semi").collect()
+    return {r["query"]: " ".join(r["w"]) for r in rows}, qrels
 
 
 def _benchmark(spark, d: str) -> DataFrame:
-    """Measures of each query that has relevant documents: its words are a passage's second to fourth."""
-    qrels = qrels_build(spark, d).persist()
-    asked = {r["query"]: " ".join(r["w"]) for r in _passages(spark, d).select(F.col("item_id").cast("string").alias("query"), F.slice(T.words(F.col("text")), 2, 3).alias("w")).join(qrels, "query", "left_semi").collect()}
-    return evaluate.evaluate(search.search(_docs(spark, d), asked), qrels)
+    """Measures of each query with relevant documents."""
+    asked, qrels = _asked_passages(spark, d)
+    return evaluate.evaluate(_asked_of(spark, d, asked), qrels)
+
+
+def vsm_mean_measures(spark, d):
+    """The vector space model (TF.IDF, documents of length 1) against the same relevant documents."""
+    asked, qrels = _asked_passages(spark, d)
+    words, only = search.query_terms(spark, asked)
+    matrix = vsm.normalised(_index(spark, d).postings("tfidf"), "col_l2").where(F.col("term").isin(*only))
+    return _rounded(evaluate.means(evaluate.evaluate(vsm.query(matrix, words), qrels)), "mp_at_k", "mp_at_r", "map")
 
 
 def precision_at_3(spark, d):
@@ -147,14 +217,14 @@ def mean_measures(spark, d):
 
 
 def _vsm(norm: str) -> Query:
-    return lambda spark, d: _rounded(vsm.normalised(index.postings(_docs(spark, d), "bm25"), norm), "v")
+    return lambda spark, d: _rounded(vsm.normalised(_index(spark, d).postings("bm25"), norm), "v")
 
 
 def vsm_query_topk(spark, d):
     """Norms need all terms of a document, products those of the queries only: the filter passes the joins
     on its way to the scan, but not the norms' aggregate."""
     asked, only = search.query_terms(spark, SEARCHES)
-    matrix = vsm.normalised(index.postings(_docs(spark, d), "tfidf"), "col_l2").where(F.col("term").isin(*only))
+    matrix = vsm.normalised(_index(spark, d).postings("tfidf"), "col_l2").where(F.col("term").isin(*only))
     return search.top(vsm.query(matrix, asked), 10)
 
 
@@ -162,13 +232,6 @@ def _parts(spark, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("word_id"), F.col("p_name").alias("name"), F.col("p_size").alias("score"), F.col("p_brand").alias("description"))
 
 
-def _vocabulary_entities(spark, d: str) -> DataFrame:
-    """Words as entities: score is the frequency, description the first language."""
-    docs = _docs(spark, d)
-    words = docs.select("lang", F.explode(T.terms(F.col("text"))).alias("name")).groupBy("name").agg(F.count("*").alias("score"), F.min("lang").alias("description"))
-    return words.join(vocabulary(spark, d).withColumnsRenamed({"term": "name", "term_id": "word_id"}), "name").select("word_id", "name", "score", "description")
-
-
 def _asked(spark) -> DataFrame:
     return spark.createDataFrame(FUZZY, "x string, delta int")
 
@@ -178,7 +241,7 @@ def qgram_index(spark, d):
 
 
 def qgram_candidates(spark, d):
-    return fuzzy.candidates(fuzzy.qgram_index(_vocabulary_entities(spark, d)), _asked(spark)).groupBy("x", "cnt").agg(F.count("*").alias("n"))
+    return fuzzy.candidates(_index(spark, d).qgrams(), _asked(spark)).groupBy("x", "cnt").agg(F.count("*").alias("n"))
 
 
 def prefix_edit_distance(spark, d):
@@ -188,15 +251,24 @@ def prefix_edit_distance(spark, d):
 
 
 def fuzzy_match(spark, d):
-    return fuzzy.matches(_vocabulary_entities(spark, d), _asked(spark)).withColumn("ped", F.col("ped").cast("long"))
+    """Words as entities: score is the frequency, description the first language."""
+    at = _index(spark, d)
+    return fuzzy.matches(at.words(), _asked(spark), index=at.qgrams()).withColumn("ped", F.col("ped").cast("long"))
 
 
 def fuzzy_counts(spark, d):
     """Distances worked out and matches found, for each query."""
-    seen = fuzzy.checked(_vocabulary_entities(spark, d), _asked(spark))
+    at = _index(spark, d)
+    seen = fuzzy.checked(at.words(), _asked(spark), index=at.qgrams())
     return seen.groupBy("x").agg(F.count("*").alias("n_ped"), F.count(F.when(F.col("ped") <= F.col("delta"), 1)).alias("n_found"))
 
 
+def fuzzy_complete(spark, d):
+    """Matches without a common q-gram, too."""
+    at = _index(spark, d)
+    return fuzzy.matches(at.words(), _asked(spark), index=at.qgrams(), complete=True).withColumn("ped", F.col("ped").cast("long"))
+
+
 def fuzzy_top(spark, d):
     """The five best matches of each query."""
     from pyspark.sql.window import Window
@@ -240,6 +312,25 @@ def nb_macro_f1(spark, d):
     return bayes.evaluate(bayes.predict(labelled, classes, model), labelled, classes).agg(F.round(F.avg("f1"), 6).alias("macro_f1"))
 
 
+def _halves(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """Labelled documents to learn from, and a third of them to be judged by."""
+    rows, held = _labelled(spark, d), F.pmod("doc_id", F.lit(3)) == 0
+    return rows.where(~held), rows.where(held)
+
+
+def nb_held_out(spark, d):
+    """Precision, recall and F1 on documents that were not learned from."""
+    learned, held = _halves(spark, d)
+    classes, model = bayes.train(learned)
+    return _rounded(bayes.evaluate(bayes.predict(held, classes, model), held, classes), "precision", "recall", "f1")
+
+
+def nb_top_words_stop(spark, d):
+    """The likeliest words of each class but stop words."""
+    stop = spark.createDataFrame([(w,) for w in T.STOP_WORDS], "word string")
+    return bayes.top_words(*bayes.train(_labelled(spark, d)), stop=stop).withColumn("p_wc", F.round("p_wc", 9))
+
+
 def nb_top_words(spark, d):
     return bayes.top_words(*bayes.train(_labelled(spark, d))).withColumn("p_wc", F.round("p_wc", 9))
 
@@ -292,12 +383,17 @@ def hmm_emissions(spark, d):
 
 
 def viterbi(spark, d):
-    tagged = _tagged(spark, d)
-    model = hmm.model(hmm.transitions(tagged, "sent_id", ["pos"]), hmm.emissions(tagged))
-    found = hmm.sequences(tagged, "sent_id", ["pos"], "word").withColumn("v", hmm.viterbi_udf(model)(F.col("words")))
+    rows = _tagged(spark, d)
+    found = hmm.tagged(rows, "sent_id", ["pos"], hmm.transitions(rows, "sent_id", ["pos"]), hmm.emissions(rows))
     return found.select("sent_id", F.round("v.lp", 6).alias("lp"), F.concat_ws(" ", "v.tags").alias("tags"))
 
 
+def named_entities(spark, d):
+    """Runs of one tag in what the tagger says."""
+    rows = _tagged(spark, d)
+    return hmm.named_entities(rows, "sent_id", ["pos"], hmm.transitions(rows, "sent_id", ["pos"]), hmm.emissions(rows), ENTITY).withColumn("start", F.col("start").cast("long"))
+
+
 def tag_runs(spark, d):
     from pyspark.sql.window import Window
 
@@ -319,6 +415,31 @@ def kmeans_step(spark, d):
     return _rounded(cluster.means(cluster.assign(vectors.drop("cluster"), cluster.collected(cluster.means(vectors)))), "x")
 
 
+def kmeans_rounds(spark, d):
+    """The assignment after some rounds of k-means from the labels' means."""
+    vectors = _vectors(spark, d)
+    *_, (_, found) = cluster.kmeans(vectors.drop("cluster"), cluster.collected(cluster.means(vectors)), ROUNDS)
+    return found.select("vec_id", "cluster")
+
+
+def kmeans_converged(spark, d):
+    """Rounds until the centroids stay the same, and the residual sum of squares then."""
+    vectors = _vectors(spark, d)
+    rounds = list(cluster.kmeans(vectors.drop("cluster"), cluster.collected(cluster.means(vectors)), 100))
+    centroids, found = rounds[-1]
+    return _rounded(cluster.rss(found, centroids), "rss").withColumn("rounds", F.lit(len(rounds)).cast("long"))
+
+
+def kmeans_choice(spark, d):
+    """Residual sums of squares for numbers of clusters (labels modulo k), and the one chosen with a penalty."""
+    vectors, costs = _vectors(spark, d), {}
+    for k in (2, 4, 8):
+        grouped = vectors.withColumn("cluster", F.pmod("cluster", F.lit(k)))
+        costs[k] = cluster.rss(grouped, cluster.collected(cluster.means(grouped))).first()["rss"]
+    best = cluster.best_k(costs, PENALTY)
+    return spark.createDataFrame([(k, round(c, 4), k == best) for k, c in costs.items()], "k long, rss double, chosen boolean")
+
+
 def rss(spark, d):
     vectors = _vectors(spark, d)
     return _rounded(cluster.rss(vectors, cluster.collected(cluster.means(vectors))), "rss")
@@ -335,16 +456,14 @@ def lsi_scores(spark, d):
 
 
 def gap_encoding(spark, d):
-    return postings.gaps(index.term_frequencies(index.measured(_docs(spark, d))))
+    return postings.gaps(_index(spark, d).entries())
 
 
 def code_bits(spark, d):
-    """Bits of each term's list in four codes, and the entropy bound of its gap distribution."""
-    docs = _docs(spark, d)
-    n = float(docs.count())
-    tf = index.term_frequencies(index.measured(docs))
-    rows = postings.gaps(tf).withColumn("gap", F.col("gap") + F.when(F.col("gap") == 0, 1).otherwise(0))
-    rows = index.with_term_values(rows, index.document_frequencies(tf))
+    """Bits of each term's list in four codes."""
+    at = _index(spark, d)
+    n, tf = float(at.stats().n), at.postings("tf")
+    rows = postings.gaps(tf, keep=("df",)).withColumn("gap", F.col("gap") + F.when(F.col("gap") == 0, 1).otherwise(0))
     bits = [F.sum(f(F.col("gap"))).alias(f.__name__) for f in (T.gamma_bits, T.delta_bits, T.vbyte_bits)]
     return rows.groupBy("term", "df").agg(*bits, F.sum(T.golomb_bits(F.col("gap"), F.col("df") / n)).alias("golomb_bits"))
 
@@ -367,17 +486,19 @@ GRAPHS = {
 
 def queries() -> dict[str, Query]:
     plain = [
+        index_build, boolean_and_scan, bm25_stopwords, vsm_mean_measures, fuzzy_complete, nb_held_out, nb_top_words_stop, named_entities, kmeans_rounds, kmeans_converged, kmeans_choice,
         word_freq, df_idf, doc_lengths, doc_len_stats, vocabulary, stop_word_filter, boolean_and, boolean_and_titles, bm25_postings, posting_intersect_3way, posting_union, posting_semi_chain,
         counted_union, posting_strings, qrels_build, precision_at_3, precision_at_r, average_precision, mean_measures, vsm_query_topk, qgram_index, qgram_candidates, prefix_edit_distance,
         fuzzy_match, fuzzy_counts, fuzzy_top, nb_prior, nb_likelihood, nb_predict, nb_predict_prior, nb_metrics, nb_macro_f1, nb_top_words, sparql_limit, sparql_sql_text, hmm_transitions, hmm_emissions, viterbi, tag_runs,
         kmeans_assign, kmeans_step, rss, lsi_scores, gap_encoding, code_bits, term_entropy,
     ]
     out: dict[str, Query] = {f.__name__: f for f in plain}
-    out |= {"bm25_topk": _topk("bm25"), "bm25_k_inf": _topk("bm25", inf), "bm25_no_idf": _topk("bm25_no_idf"), "bm25_stopwords": _topk("bm25", stop=T.STOP_WORDS), "tfidf_topk": _topk("tfidf"), "tf_topk": _topk("tf")}
+    out |= {"bm25_topk": _topk("bm25"), "bm25_k_inf": _topk("bm25", inf), "bm25_no_idf": _topk("bm25_no_idf"), "tfidf_topk": _topk("tfidf"), "tf_topk": _topk("tf")}
     out |= {f"posting_intersect_{s}": _intersect(s) for s in postings.STRATEGIES}
     out |= {f"vsm_{n}": _vsm(n) for n in vsm.NORMS}
-    return out | {name: _graph(q) for name, q in GRAPHS.items()}
+    out |= {name: _graph(q) for name, q in GRAPHS.items()}
+    return out | files.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.sql(SEARCHES, FUZZY, VITERBI_BUCKETS)
+    return oracles.sql(SEARCHES, FUZZY, VITERBI_BUCKETS, ENTITY, ROUNDS, PENALTY) | files.oracle_sql()

@@ -9,13 +9,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 
 def lines(spark: SparkSession, path: str, first: int = 1) -> DataFrame:
-    """line (numbered from `first`), value. Partitions number their own lines; only their sizes meet."""
-    rows = spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[1] + first, x[0]))
-    return spark.createDataFrame(rows, StructType([StructField("line", LongType()), StructField("value", StringType())]))
+    """line (numbered from `first`, over the files in order of their names), value. Each block of a file
+    numbers its own lines; only the blocks' sizes meet."""
+    block = ["file_", "start_"]
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file_"), F.col("_metadata.file_block_start").alias("start_"), F.monotonically_increasing_id().alias("at_"))
+    offsets, total = [], first - 1
+    for file, start, n in sorted(map(tuple, rows.groupBy(*block).count().collect())):
+        offsets.append((file, start, total))
+        total += n
+    starts = spark.createDataFrame(offsets, "file_ string, start_ long, before_ long")
+    placed = rows.withColumn("place_", F.row_number().over(Window.partitionBy(*block).orderBy("at_")))
+    return placed.join(F.broadcast(starts), block).select((F.col("before_") + F.col("place_")).alias("line"), "value")
 
 
 def _required(condition: Column, value: Column, message: str) -> Column:
