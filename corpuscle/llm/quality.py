@@ -1,5 +1,6 @@
 """Quality rules, line first: every line is held against punctuation, navigation and boilerplate rules,
-failing lines are removed, and a document that loses too much of its text is rejected.
+failing lines are removed, and a document that loses too much of its text is rejected. The word lists of the rules are those of
+English, German, French and Spanish.
 
 Main path: DataFrame functions only, no shuffle; each document is judged within its row.
 
@@ -23,18 +24,33 @@ MAX_LOST = 0.5
 TERMINAL = r"""[.!?:;…。！？]["'”’»)\]]*[\x20\x09-\x0D]*$"""
 #: A sentence that ends within a line: the line is prose even if its own end is cut off.
 INNER_END = r"""\p{L}[.!?]["'”’»)\]]*[\x20\x09]"""
-#: Words of which one in this many may carry runs of symbols.
 SYMBOL_RUN = r"[#*$%&|<>]{3}"
+#: A line fails if more than one in this many of its words carries a run of symbols.
+SYMBOL_SHARE = 4
 MENU = r"""(?:^|[\x20\x09])[|»›•·>][\x20\x09].*[\x20\x09][|»›•·>](?:[\x20\x09]|$)"""
-NAVIGATION = r"(?i)^\W*(?:home|about(?: us)?|contact(?: us)?|log ?in|log ?out|sign ?(?:in|up)|register|search|menu|next|previous|back to top|read more|skip to content|share|subscribe|site ?map|faq|help)(?:\W+(?:home|about(?: us)?|contact(?: us)?|log ?in|log ?out|sign ?(?:in|up)|register|search|menu|next|previous|back to top|read more|skip to content|share|subscribe|site ?map|faq|help))*\W*$"
-BOILERPLATE = r"(?i)(?:licen[sc]ed under|released under the|all rights reserved|terms of (?:use|service)|privacy policy|use of cookies|cookie policy|enable javascript|lorem ipsum|copyright (?:©|\(c\)|[0-9]{4})|spdx-license-identifier)"
+# Words of menus in English, German, French and Spanish; letters beyond ASCII in both cases.
+LINKS = (
+    "home", "about(?: us)?", "contact(?: us)?", "log ?in", "log ?out", "sign ?(?:in|up)", "register", "search", "menu", "next", "previous", "back to top", "read more", "skip to content", "share", "subscribe", "site ?map", "faq", "help",
+    "startseite", "[üÜ]ber uns", "kontakt", "anmelden", "abmelden", "registrieren", "suche", "men[üÜ]", "weiter", "zur[üÜ]ck", "nach oben", "weiterlesen", "teilen", "abonnieren", "hilfe", "impressum",
+    "accueil", "[àÀ] propos", "connexion", "d[éÉ]connexion", "inscription", "rechercher", "suivant", "pr[éÉ]c[éÉ]dent", "haut de page", "lire la suite", "partager", "plan du site", "aide",
+    "inicio", "acerca de", "contacto", "iniciar sesi[óÓ]n", "cerrar sesi[óÓ]n", "registrarse", "buscar", "siguiente", "anterior", "volver arriba", "leer m[áÁ]s", "compartir", "suscribirse", "mapa del sitio", "ayuda",
+)
+NAVIGATION = rf"(?i)^\W*(?:{'|'.join(LINKS)})(?:\W+(?:{'|'.join(LINKS)}))*\W*$"
+# Legal and technical notices in the same languages, by their first letter.
+NOTICES = (
+    "a(?:ll rights reserved|lle rechte vorbehalten|ctiv(?:er|ar|e) javascript)", "bajo (?:la )?licencia", "c(?:ookie policy|opyright (?:©|\\(c\\)|[0-9]{4})|ondi(?:tions d.utilisation|ciones de uso))",
+    "datenschutzerkl[äÄ]rung", "enable javascript", "javascript aktivieren", "l(?:icen[sc]ed under|izenziert unter|orem ipsum)", "nutzungsbedingungen",
+    "p(?:rivacy policy|olitique de confidentialit[éÉ]|ol[íÍ]tica de (?:privacidad|cookies))", "released under the", "s(?:ous licence|pdx-license-identifier)",
+    "t(?:erms of (?:use|service)|ous droits r[éÉ]serv[éÉ]s|odos los derechos reservados|[éÉ]rminos (?:de uso|del? servicio))", "u(?:se of cookies|tilisation (?:de|des) cookies|so de cookies)", "ver(?:wendung von cookies|[öÖ]ffentlicht unter der)",
+)
+BOILERPLATE = rf"(?i)(?:{'|'.join(NOTICES)})"
 
 
 def line_fails(line: Column) -> Column:
     """True if a line breaks one of the three rules."""
     symbols = F.regexp_count(line, F.lit(SYMBOL_RUN))
     n_words = F.regexp_count(line, F.lit(WORD))
-    punctuation = ~(line.rlike(TERMINAL) | line.rlike(INNER_END)) | (symbols * 4 > n_words)
+    punctuation = ~(line.rlike(TERMINAL) | line.rlike(INNER_END)) | (symbols * SYMBOL_SHARE > n_words)
     return punctuation | line.rlike(MENU) | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)
 
 
@@ -97,4 +113,5 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     from corpuscle.llm.shared import documents
 
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_lines_removed", "line_chars", "clean_chars"]
-    return with_quality(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", *(F.col("q_" + x).alias(x) for x in names))
+    out = with_quality(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", *(F.col("q_" + x).alias(x) for x in names), F.sha2("q_clean_text", 256).alias("clean_sha256"))
