@@ -1,5 +1,7 @@
 """Personal data: regular expressions propose spans, checksum validators confirm them, nearby context
-words adjust the score.
+words adjust the score: some lift it, others sink it. Scores are whole percents. Spans of the base kinds count
+at any score; the kinds that the method adds count from MIN_SCORE on, so that for each of them context decides in
+one direction or both.
 
 Main path: DataFrame functions only, no shuffle. A kind's matches are wrapped in a mark character by one
 regexp_replace, the text is split at the marks, and running sums of the pieces' lengths give the places
@@ -23,8 +25,7 @@ from corpuscle.llm.shared import documents
 
 MARK, OTHER = "\x01", "\x02"
 CONTEXT_CHARS = 48
-#: A span of the kinds that the method adds counts from this score on; the base kinds count at any score.
-MIN_SCORE = 0.5
+MIN_SCORE = 50
 CHUNK = 128
 
 
@@ -35,10 +36,13 @@ class Kind:
     hint: str
     pattern: str
     valid: Callable[[Column], Column]
-    score: float
+    #: Percents: of a confirmed span, what words like `context` before it add, what those like `against` take.
+    score: int
     context: str
-    bonus: float
+    bonus: int
     base: bool = True
+    against: str = ""
+    malus: int = 0
 
 
 def _digits(text: Column) -> Column:
@@ -83,12 +87,13 @@ def _between(text: Column, least: int, most: int) -> Column:
 
 #: In the order in which spans that start together are listed.
 KINDS = (
-    Kind("email", "@", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda x: F.lit(True), 0.9, r"e-?mail|mail|contact|kontakt|correo|courriel", 0.1),
-    Kind("ip", r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", _octets, 0.6, r"\bip\b|host|server|address|adresse", 0.3),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9]){11}", r"[0-9](?:[\x20-]?[0-9])++", lambda x: F.when(_between(x, 12, 19), luhn(_digits(x))).otherwise(F.lit(False)), 0.7, r"card|visa|master|amex|karte|carte|tarjeta|credit", 0.3),
-    Kind("phone", r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: _between(x, 9, 15), 0.7, r"phone|tel|call|fax|mobile|handy|llam", 0.3),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda x: mod97(x), 0.8, r"iban|account|konto|compte|cuenta|bank", 0.2, False),
-    Kind("ssn", r"[0-9]-[0-9]{2}-[0-9]", r"(?<![\w-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\w-])", lambda x: F.lit(True), 0.3, r"ssn|social security|tax(?:payer)? id", 0.5, False),
+    Kind("email", "@", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda x: F.lit(True), 90, r"e-?mail|mail|contact|kontakt|correo|courriel", 10),
+    Kind("ip", r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", _octets, 60, r"\bip\b|host|server|address|adresse", 30, against=r"version|section|chapter", malus=30),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9]){11}", r"[0-9](?:[\x20-]?[0-9])++", lambda x: F.when(_between(x, 12, 19), luhn(_digits(x))).otherwise(F.lit(False)), 70, r"card|visa|master|amex|karte|carte|tarjeta|credit", 30, against=r"order|invoice|isbn|serial", malus=30),
+    Kind("phone", r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: _between(x, 9, 15), 70, r"phone|tel|call|fax|mobile|handy|llam", 30),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda x: mod97(x), 60, r"iban|account|konto|compte|cuenta|bank", 40, False, r"serial|model|version|part no", 20),
+    Kind("ssn", r"[0-9]-[0-9]{2}-[0-9]", r"(?<![\w-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\w-])", lambda x: F.lit(True), 30, r"ssn|social security|tax(?:payer)? id", 50, False, r"serial|model|order|part no", 40),
+    Kind("secret", r"[A-Za-z0-9+/_-]{32}", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+", lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]"), 30, r"token|secret|api|key|passw|auth|credential|bearer", 50, False, r"sha|md5|commit|checksum|hash|digest", 40),
 )
 
 
@@ -105,12 +110,14 @@ def scan(values: Column, step: Callable[[Column, Column], Column], start: int =
     return F.when(n > 0, F.flatten(F.transform(chunks, inner))).otherwise(F.array().cast("array<int>"))
 
 
-def _confirmed(kind: Kind, at: int, pieces: Column, lens: Column, starts: Column, min_score: float) -> Column:
+def _confirmed(kind: Kind, at: int, pieces: Column, lens: Column, starts: Column, min_score: int) -> Column:
     """Of the pieces with odd places, which are a kind's matches, those that its validator confirms."""
 
     def span(k: Column) -> Column:
         near = F.lower(F.substring(F.get(pieces, k - 1), -CONTEXT_CHARS, CONTEXT_CHARS))
-        score = F.lit(kind.score) + F.when(near.rlike(kind.context), kind.bonus).otherwise(0.0)
+        score = F.lit(kind.score) + F.when(near.rlike(kind.context), kind.bonus).otherwise(0)
+        if kind.against:
+            score = score - F.when(near.rlike(kind.against), kind.malus).otherwise(0)
         start = F.get(starts, k)
         return F.struct(start.alias("start"), F.lit(at).alias("kind"), (start + F.get(lens, k)).alias("end"), score.alias("score"), F.get(pieces, k).alias("text"))
 
@@ -119,8 +126,8 @@ def _confirmed(kind: Kind, at: int, pieces: Column, lens: Column, starts: Column
     return F.transform(spans, lambda s: F.struct(*(s[x].alias(x) for x in ("start", "kind", "end", "score"))))
 
 
-def with_spans(df: DataFrame, text: str = "text", prefix: str = "pii_", kinds: tuple[Kind, ...] = KINDS, min_score: float = MIN_SCORE) -> DataFrame:
-    """df with {prefix}spans: array<struct<start int, kind int (place in kinds), end int, score double>>
+def with_spans(df: DataFrame, text: str = "text", prefix: str = "pii_", kinds: tuple[Kind, ...] = KINDS, min_score: int = MIN_SCORE) -> DataFrame:
+    """df with {prefix}spans: array<struct<start int, kind int (place in kinds), end int, score int>>
     in order of start, then kind."""
     c = lambda name: F.col(prefix + name)
     out = df.withColumn(prefix + "text", F.translate(F.coalesce(F.col(text), F.lit("")), MARK, OTHER))
@@ -131,7 +138,7 @@ def with_spans(df: DataFrame, text: str = "text", prefix: str = "pii_", kinds: t
         out = out.withColumn(pieces, F.when(may, F.split(F.regexp_replace(c("text"), kind.pattern, f"{MARK}$0{MARK}"), MARK)))
         out = out.withColumn(lens, F.when(F.size(pieces) > 1, F.transform(pieces, lambda x: F.length(x))))
         out = out.withColumn(starts, F.when(F.col(lens).isNotNull(), scan(F.col(lens), lambda a, b: a + b)))
-        found.append(F.coalesce(F.when(F.col(starts).isNotNull(), _confirmed(kind, at, F.col(pieces), F.col(lens), F.col(starts), min_score)), F.array().cast("array<struct<start:int,kind:int,end:int,score:double>>")))
+        found.append(F.coalesce(F.when(F.col(starts).isNotNull(), _confirmed(kind, at, F.col(pieces), F.col(lens), F.col(starts), min_score)), F.array().cast("array<struct<start:int,kind:int,end:int,score:int>>")))
     out = out.withColumn(prefix + "spans", F.sort_array(F.concat(*found)))
     return out.drop(prefix + "text", *(f"{prefix}{x}_{k.name}" for k in kinds for x in ("pieces", "lens", "starts")))
 
@@ -169,4 +176,4 @@ def op3_pii(spark, sf_dir: str) -> DataFrame:
     spans = F.col("pii_spans")
     base = F.filter(spans, lambda s: s["kind"] < 4)
     counts = [_count(spans, i).alias(f"n_{k.name}") for i, k in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"), F.concat_ws(",", F.transform(spans, lambda s: s["score"].cast("string"))).alias("scores"))

@@ -25,6 +25,9 @@ def test_quality_lines(spark):
     assert got[0]["q_clean_text"] == prose and got[0]["q_kept"] and got[0]["kept"] == 1 and got[0]["n_words"] == "clash"
     assert not got[1]["q_kept"] and got[2]["q_clean_text"] == "" and not got[2]["q_kept"] and got[2]["q_n_words"] == 0
     assert got[3][4:] == got[4][4:] or got[3]["q_kept"] == got[4]["q_kept"]
+    others = spark.createDataFrame([(x,) for x in ("Startseite | Über uns | Kontakt.", "Accueil · Connexion!", "Inicio » Ayuda.", "Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados.")], "l string")
+    assert all(r[0] for r in others.select(quality.line_fails(F.col("l"))).collect())
+    assert not any(r[0] for r in spark.createDataFrame([("Die Suche nach Hilfe war lang.",), ("Elle cherche de l'aide.",), ("El inicio fue bueno.",)], "l string").select(quality.line_fails(F.col("l"))).collect())
     fails = spark.createDataFrame([(x,) for x in ("Next", "cut off without a stop", 'She said "go."', "a. b c", "Tail of it %%% ### $$$.", "All rights reserved.", "x > y > z.")], "l string")
     assert [r[0] for r in fails.select(quality.line_fails(F.col("l"))).collect()] == [True, True, False, False, True, True, True]
 
@@ -35,8 +38,10 @@ def test_pii_redaction_and_validators(spark):
     assert got == ["To <EMAIL> or <PHONE>, card <CARD>.", "nothing", None, "", "<EMAIL>" + " <EMAIL>" * 300]
     checks = spark.createDataFrame([("DE89370400440532013000", True), ("GB82 WEST 1234 5698 7654 32", True), ("DE89370400440532013001", False)], "x string, ok boolean")
     assert all(r[0] == r[1] for r in checks.select("ok", pii.mod97(F.col("x"))).collect())
-    near = pii.with_spans(frame(spark, ["My SSN is 123-45-6789.", "Part 123-45-6789 fits."]))
-    assert [r[0] for r in near.orderBy("doc_id").select(F.size("pii_spans")).collect()] == [1, 0]
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    near = pii.with_spans(frame(spark, ["My SSN is 123-45-6789.", "Part 123-45-6789 fits.", f'token = "{key}"', f"commit {key}", f"api key or sha {key}", "IBAN DE89370400440532013000", "model DE89370400440532013000", "DE89370400440532013000", "Call +49 30 1234567"]))
+    got = [[(pii.KINDS[x["kind"]].name, x["score"]) for x in r[0]] for r in near.orderBy("doc_id").select("pii_spans").collect()]
+    assert got == [[("ssn", 80)], [], [("secret", 80)], [], [], [("iban", 100)], [], [("iban", 60)], [("phone", 100)]]
 
 
 def test_pii_scan(spark):
