@@ -44,8 +44,8 @@ from corpuscle.llm.shared import arrow_schema, bounded_batches, documents, map_t
 
 LENGTH = 200
 GRAM = 40
-#: Contexts of a run that meet in one task, at most.
-LOCAL = 1024
+#: Contexts of a run that meet in one task, at most: some 6 MB of bytes and 100 MB of digits of their windows.
+LOCAL = 16_384
 #: Distances in a range, in each pass over the runs with more.
 RANGES = (41, 10, 1)
 #: Windows of a text that are worked on at once.
