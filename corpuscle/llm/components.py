@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.shared import stored
+from corpuscle.llm.shared import release, stored
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges", rows)
     rows, seen = edges.count(), None
     while True:
-        edges = stored(_small(_large(edges)), "edges", rows)
+        edges, before = stored(_small(_large(edges)), "edges", rows), edges
+        release(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.llm.langid import remainder
-from corpuscle.llm.shared import documents, map_texts, stored, tucked, untucked
+from corpuscle.llm.shared import documents, map_texts, release, stored, tucked, untucked
 
 ORDER = 5
 FREQUENT = 1 << 20
@@ -113,6 +113,7 @@ class Trie:
         tables = [deepest]
         for k in range(order - 1, -1, -1):
             tables.append(stored(tables[-1].groupBy(self.tail(F.col("code"), k).alias("code")).agg(F.sum("n").alias("n")), f"level{k}", _bound(k + 1)))
+        self.levels = tables[1:]
         for k, table in enumerate(reversed(tables)):
             rows = table.select("code", F.shiftright("code", 8).alias("ctx"), "n")
             if k:
@@ -125,6 +126,10 @@ class Trie:
             self.codes.append(below)
             self.contexts.append(stored(below.groupBy("ctx").agg(F.sum("n").alias("t"), F.count("*").alias("d"), F.sum("low").alias("u")), f"contexts{k}", _bound(k)))
 
+    def release(self) -> None:
+        for table in [*self.levels, *self.codes[1:], *self.contexts]:
+            release(table)
+
     @staticmethod
     def tail(code: Column, k: int) -> Column:
         """The last k + 1 bytes of a code: a code of level k."""
@@ -237,7 +242,11 @@ def score(df: DataFrame, train: Column, top: int = TOP, frequent: int = FREQUENT
     other = scored.select("row_", F.explode("words_").alias("x")).select("row_", F.col("x.w").alias("word"), F.col("x.k").alias("k"))
     by_words = other.join(vocabulary, "word").groupBy("row_").agg(F.sum("k").alias("more_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("more_sum"))
     rare = scored.select("row_", F.explode("codes_").alias("x")).select("row_", F.col("x.c").alias("code"), F.col("x.k").alias("k"))
-    walked = stored(trie.walked(stored(rare.select("code").distinct(), "asked")), "walked")
+    asked = stored(rare.select("code").distinct(), "asked")
+    walked = stored(trie.walked(asked), "walked")
+    trie.release()
+    for table in (partial, deepest, asked):
+        release(table)
     by_codes = rare.join(walked, "code").groupBy("row_").agg(F.sum(F.col("k") * F.col("lp")).alias("more_score"))
     zero = lambda name, kind: F.coalesce(F.col(name), F.lit(0).cast(kind))
     out = scored.drop("words_", "codes_").join(by_words, "row_", "left").join(by_codes, "row_", "left")

@@ -326,6 +326,8 @@ def _repeated(texts: DataFrame, local: int, ranges: tuple[int, ...]) -> DataFram
     ranges_ = stored(_repeated_windows(rows, local, ranges), "ranges").groupBy(*CONTEXT).agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     decided = distinct.select(*CONTEXT, (F.col("n") > 1).alias("all")).join(ranges_, CONTEXT, "left")
     decided = stored(decided.where("all OR ranges IS NOT NULL"), "decided")
+    release(open_)
+    release(distinct)
     covered = contexts.join(decided, CONTEXT)
     whole = F.array(F.struct(F.col("first").alias("low"), (F.col("last") + LENGTH).alias("high")))
     parts = F.transform("ranges", lambda r: F.struct((F.col("place") - r["high"]).alias("low"), (F.col("place") - r["low"] + LENGTH).alias("high")))

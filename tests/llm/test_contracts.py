@@ -13,7 +13,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from corpuscle.llm import registry
+from corpuscle.llm import media, registry
 from tests.oracle import connect, same
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -129,6 +129,51 @@ def test_op7(spark, sf, docs):
     assert got.drop(columns=["n_bytes"]).groupby("payload_sha256").nunique().max().max() == 1
 
 
+def plain_samples(codec, data):
+    """Samples of a payload by plain decoders."""
+    out = []
+    if codec == "adpcm":
+        for k in range(0, len(data), 64):
+            block = data[k : k + 64]
+            value, index = int.from_bytes(block[:2], "little", signed=True), min(88, block[2])
+            out.append(value)
+            for byte in block[4:]:
+                for code in (byte & 15, byte >> 4):
+                    step = int(media.STEPS[index])
+                    move = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+                    value = max(-32768, min(32767, value + (-move if code & 8 else move)))
+                    index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[code & 7]))
+                    out.append(value)
+        return out
+    for byte in data:
+        if codec == "mulaw":
+            code = 255 - byte
+            size = ((code % 16 * 8 + 132) * 2 ** (code // 16 % 8)) - 132
+            out.append(-size if code >= 128 else size)
+        else:
+            code = byte ^ 0x55
+            segment, low = code // 16 % 8, code % 16 * 16 + 8
+            size = low if segment == 0 else (low + 256) * 2 ** (segment - 1)
+            out.append(size if code >= 128 else -size)
+    return out
+
+
+def test_op7_features(spark, sf, docs):
+    got = run(spark, sf, "op7")
+    for i, text in docs.items():
+        data = (text or "").encode()
+        if len(data) > 20_000:
+            continue
+        padded = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
+        codec = ("mulaw", "alaw", "adpcm")[len(padded) // 64 % 3]
+        x = plain_samples(codec, padded)
+        wide = [v for a, b in zip(x, [*x[1:], x[-1]]) for v in (a, (a + b) // 2)]
+        pcm = b"".join(v.to_bytes(2, "little", signed=True) for v in wide)
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        assert got.loc[i].feature == f"{codec}:{len(x)}:{math.sqrt(sum(v * v for v in x) / len(x)):.3f}:{max(map(abs, x))}:{crossings}:{zlib.crc32(pcm):08x}"
+        assert got.loc[i].pcm_bytes == 44 + len(pcm)
+
+
 def test_op8(spark, sf, docs):
     got = run(spark, sf, "op8")
     for i, text in docs.items():

@@ -29,6 +29,17 @@ def plain_language(text, model):
     return sizes
 
 
+def test_op8_by_the_plain_library(spark, sf, docs):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(table.where(langid.remainder(F.col("doc_id"), 4) != 2).select("doc_id", "lang", "text"))
+    for r in langid.op8_language_id(spark, sf).collect():
+        text = docs[r["doc_id"]]
+        if text and len(text) < 5000 and any(map(str.isalpha, text)):
+            sizes = plain_language(text, model)
+            low, high, *_ = sorted(sizes)
+            assert (r["lang_pred"], r["score"]) == (list(model)[sizes.index(low)], 1 - low / high)
+
+
 def plain_redaction(text):
     digits = lambda x: re.sub("[^0-9]", "", x)
     kinds = [
