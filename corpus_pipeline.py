@@ -12,13 +12,11 @@ beside doc_id and text pass through whatever they are called.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.llm import copies, langid, mixing, packing, pii
-from corpuscle.llm.shared import shared_dir, stored, tucked, untucked
+from corpuscle.llm.shared import release, stored, tucked, untucked
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,9 +67,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/corpuscle/{uuid.uuid4().hex}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
-        made = stage(spark, docs, sf_dir)
-        made.write.parquet(f"{folder}/stage{k}")
-        docs = spark.read.schema(made.schema).parquet(f"{folder}/stage{k}")
+        docs = stored(stage(spark, docs, sf_dir), f"stage{k}")
+        if before is not None:
+            release(before)
+        before = docs
     return docs

@@ -31,10 +31,9 @@ def gram(columns: DataFrame, m: int) -> np.ndarray:
         i, j = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["i", "j", "x"])
 
-    rows = columns.select("v").mapInArrow(partial, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    rows = columns.select("v").mapInArrow(partial, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toArrow()
     out = np.zeros((m, m))
-    for r in rows:
-        out[r["i"], r["j"]] = r["x"]
+    out[rows["i"].to_numpy(), rows["j"].to_numpy()] = rows["x"].to_numpy()
     return out
 
 
@@ -57,6 +56,20 @@ def scores(columns: DataFrame, query: list[float], matrix: np.ndarray) -> DataFr
     return columns.select("doc_id", F.aggregate(F.zip_with("v", weights, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("score"))
 
 
+def concept_columns(columns: DataFrame, s: np.ndarray, u: np.ndarray) -> DataFrame:
+    """doc_id, c: the documents in concept space, S^-1 * U^T * d for every column d."""
+    rows = (u / np.where(s > 0, s, 1.0)).T
+    product = lambda row: F.aggregate(F.zip_with("v", F.array(*(F.lit(float(x)) for x in row)), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+    return columns.select("doc_id", F.array(*map(product, rows)).alias("c"))
+
+
+def concept_scores(concepts_: DataFrame, query: list[float], s: np.ndarray, u: np.ndarray) -> DataFrame:
+    """doc_id, score from stored documents in concept space: the query is mapped there, (U^T * q) * S, and
+    multiplied with each. The same scores as `scores` with the expansion matrix of u."""
+    weights = F.array(*(F.lit(float(x)) for x in (np.asarray(query, float) @ u) * s))
+    return concepts_.select("doc_id", F.aggregate(F.zip_with("c", weights, lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x).alias("score"))
+
+
 def sparse_columns(postings: DataFrame, terms: list[str], docs: DataFrame) -> DataFrame:
     """doc_id, at, x: the places in `terms` and the values of every document's terms that are among them."""
     places = docs.sparkSession.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, i int")

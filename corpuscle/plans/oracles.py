@@ -227,6 +227,8 @@ p AS (SELECT raw AS x, word_id, name, score, description, delta, CAST({PED} AS B
 SELECT x, word_id, name, score, description, ped FROM p WHERE ped <= delta""",
         "nb_held_out": _held_out(),
         "nb_top_words_stop": f"WITH {NB} SELECT class, rank, word, round(p_wc, 9) AS p_wc FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY p_wc DESC, word) AS rank FROM p WHERE word NOT IN ({STOP})) WHERE rank <= 20",
+        "lsi_full_rank": f"""WITH {TOKENS}, one AS (SELECT term FROM df ORDER BY df DESC, term LIMIT 1)
+SELECT d.doc_id, CAST(coalesce(tf, 0) AS DOUBLE) AS score FROM documents d LEFT JOIN (SELECT doc_id, tf FROM tf JOIN one USING (term)) USING (doc_id)""",
         "kmeans_rounds": f"WITH {_kmeans(rounds)} SELECT vec_id, cluster FROM a{rounds}", "kmeans_choice": _choice(penalty),
         "tag_runs": f"""WITH {tagged}, r AS (SELECT sent_id, k, word, k - row_number() OVER (PARTITION BY sent_id ORDER BY k) AS island FROM n WHERE tag = 'purchase')
 SELECT sent_id, min(k) AS start, string_agg(word, ' ' ORDER BY k) AS text FROM r GROUP BY sent_id, island""",

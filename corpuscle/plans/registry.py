@@ -28,6 +28,7 @@ ROUNDS = 3
 PENALTY = 5.0
 VITERBI_BUCKETS = (10.0, 30.0, 60.0, 120.0)
 LSI_TERMS = lsi.MAX_TERMS
+FULL_RANK = 20
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -445,16 +446,29 @@ def rss(spark, d):
     return _rounded(cluster.rss(vectors, cluster.collected(cluster.means(vectors))), "rss")
 
 
+def _frequent(spark, d: str, n: int) -> tuple[list[str], DataFrame]:
+    """The n terms of most documents, and the sparse columns over them."""
+    at = _index(spark, d)
+    frequent = [r["term"] for r in at.postings("tf").select("term", "df").distinct().orderBy(F.desc("df"), "term").limit(n).collect()]
+    return frequent, lsi.sparse_columns(at.postings("tf", only=frequent), frequent, _docs(spark, d))
+
+
 def lsi_scores(spark, d):
     """Scores of the documents for the first query word in the space of ten concepts over the most frequent
     terms."""
-    docs = _docs(spark, d)
-    frequent = [r["term"] for r in index.document_frequencies(index.term_frequencies(index.measured(docs))).orderBy(F.desc("df"), "term").limit(LSI_TERMS).collect()]
-    columns = lsi.sparse_columns(index.postings(docs, "tf", only=frequent), frequent, docs)
+    frequent, columns = _frequent(spark, d, LSI_TERMS)
     _, u = lsi.concepts(lsi.sparse_gram(columns, len(frequent)), 10)
     return _rounded(lsi.sparse_scores(columns, [1.0, *[0.0] * (len(frequent) - 1)], lsi.expansion(u)), "score")
 
 
+def lsi_full_rank(spark, d):
+    """With as many concepts as terms nothing is lost: scores are those of the plain product."""
+    frequent, columns = _frequent(spark, d, FULL_RANK)
+    _, u = lsi.concepts(lsi.sparse_gram(columns, len(frequent)), len(frequent))
+    found = lsi.sparse_scores(columns, [1.0, *[0.0] * (len(frequent) - 1)], lsi.expansion(u))
+    return found.withColumn("score", F.round("score", 6) + F.lit(0.0))
+
+
 def gap_encoding(spark, d):
     return postings.gaps(_index(spark, d).entries())
 
@@ -486,7 +500,7 @@ GRAPHS = {
 
 def queries() -> dict[str, Query]:
     plain = [
-        index_build, boolean_and_scan, bm25_stopwords, vsm_mean_measures, fuzzy_complete, nb_held_out, nb_top_words_stop, named_entities, kmeans_rounds, kmeans_converged, kmeans_choice,
+        index_build, boolean_and_scan, bm25_stopwords, vsm_mean_measures, fuzzy_complete, nb_held_out, nb_top_words_stop, named_entities, kmeans_rounds, kmeans_converged, kmeans_choice, lsi_full_rank,
         word_freq, df_idf, doc_lengths, doc_len_stats, vocabulary, stop_word_filter, boolean_and, boolean_and_titles, bm25_postings, posting_intersect_3way, posting_union, posting_semi_chain,
         counted_union, posting_strings, qrels_build, precision_at_3, precision_at_r, average_precision, mean_measures, vsm_query_topk, qgram_index, qgram_candidates, prefix_edit_distance,
         fuzzy_match, fuzzy_counts, fuzzy_top, nb_prior, nb_likelihood, nb_predict, nb_predict_prior, nb_metrics, nb_macro_f1, nb_top_words, sparql_limit, sparql_sql_text, hmm_transitions, hmm_emissions, viterbi, tag_runs,

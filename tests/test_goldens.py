@@ -2,6 +2,7 @@
 
 from math import inf
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -261,7 +262,11 @@ def test_lsi(spark):
     assert g.tolist() == [[388, 384, 0], [384, 612, 0], [0, 0, 400]]
     s, u = lsi.concepts(g, 3)
     assert s == pytest.approx([30, 20, 10])
-    _, u = lsi.concepts(g, 2)
+    v = np.array([x for _, x in rows(lsi.concept_columns(columns, s, u), "doc_id", "c")]).T
+    assert np.abs(v) == pytest.approx(np.array([[0.5, 0.5, 0.5, 0, 0.5], [0, 0, 0, 1, 0], [0.5, 0.5, 0.5, 0, 0.5]]))
+    assert [round(x, 6) for _, x in rows(lsi.concept_scores(lsi.concept_columns(columns, s, u), [4, 1, 2], s, u), "doc_id", "score")] == [61, 35, 35, 40, 61]
+    s, u = lsi.concepts(g, 2)
+    assert [round(x, 6) for _, x in rows(lsi.concept_scores(lsi.concept_columns(columns, s, u), [4, 1, 2], s, u), "doc_id", "score")] == [48, 48, 48, 40, 48]
     score = lambda t: [round(x, 6) for _, x in rows(lsi.scores(columns, [4, 1, 2], t), "doc_id", "score")]
     assert lsi.expansion(u).ravel() == pytest.approx([9 / 25, 12 / 25, 0, 12 / 25, 16 / 25, 0, 0, 0, 1])
     assert score(lsi.expansion(u)) == [48, 48, 48, 40, 48]
