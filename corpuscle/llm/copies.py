@@ -6,10 +6,13 @@ whose fingerprints link (simhash, five words) and pairs that agree in one of BAN
 permuted hashes: at similarity 0.8 a pair is missed with a probability of (1 - 0.8 ** ROWS) ** BANDS, below
 0.0001. Every candidate pair is confirmed by the sets themselves, so no link is without its similarity.
 
-Texts of the same set are one node. Within a bucket of a band each set is first held against the bucket's
-first and the NEAR before it; buckets of more are then looked at again, and every pair of sets is compared
-in which one is outside the bucket's largest component and both are in different ones. So a large group of
-copies does not make all of its pairs, and no pair of a bucket that could join two components is left out.
+Texts of the same set are one node. The candidates are confirmed in three rounds, since one link for each
+set makes most of the components and the sets of a pair are what costs: first each set with the one it shares
+most bands with; then the other candidates (in a bucket, the first set and the NEAR before it) that are still
+in different components; then, in buckets of more, every pair of sets of different components of which one is
+outside the bucket's largest component. So a large group of copies does not make all of its pairs, and no pair
+of a bucket that could join two components is left out. Sets are held as 32-bit hashes there, and only those
+of candidates: for two sets of a thousand shingles a hash is shared by chance once in four thousand pairs.
 
 Defined cases: texts without words (a null text too) are copies of each other; texts of fewer than five words are one
 shingle; a component's id is its smallest id that is not null, its representative the row of that id whose
@@ -26,12 +29,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.llm.components import components
-from corpuscle.llm.shared import extended, stored
+from corpuscle.llm.shared import extended, release, stored
 from corpuscle.llm.simhash import SEED, links, majority, shingles
 
 WORDS = 5
 BANDS, ROWS = 24, 5
 NEAR = 4
+#: Sets of a bucket that meet in one task, about.
+PART = 4096
 #: Shingles that are permuted in one step.
 PERMUTED = 4096
 _random = np.random.default_rng(SEED)
@@ -57,8 +62,8 @@ def text_key(text: Column) -> Column:
 
 
 def sets(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of df without `text`, with text_key, set (a digest of the set of shingles), n (its size), fp,
-    bands and hashes, the set itself, in place of columns of these names."""
+    """The rows of df without `text`, with text_key, set (a digest of the set of shingles), n (its size), fp
+    and bands, in place of columns of these names."""
 
     def step(texts):
         from xxhash import xxh64_intdigest
@@ -68,10 +73,10 @@ def sets(df: DataFrame, text: str = "text") -> DataFrame:
             parts = list(shingles(x, WORDS))
             found = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
             digest, fp = np.array([xxh64_intdigest(found.tobytes(), SEED), majority(parts)], np.uint64).view(np.int64).tolist()
-            made.append((hashlib.sha256(x or b"").digest()[:16], digest, len(found), fp, bands(found), found.view(np.int64)))
+            made.append((hashlib.sha256(x or b"").digest()[:16], digest, len(found), fp, bands(found)))
         return list(map(list, zip(*made)))
 
-    return extended(df, step, "text_key binary, set long, n int, fp long, bands array<long>, hashes array<long>", text)
+    return extended(df, step, "text_key binary, set long, n int, fp long, bands array<long>", text)
 
 
 def _alike(n: str, m: str):
@@ -79,46 +84,71 @@ def _alike(n: str, m: str):
     return F.least(n, m) * 5 >= F.greatest(n, m) * 4
 
 
-def confirmed(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+def hashed(df: DataFrame, named: DataFrame, text: str = "text") -> DataFrame:
+    """set, hashes (32 bits of each shingle's hash, once each) of the sets in named (set, text_key)."""
+    texts = df.select(text_key(F.col(text)).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates(["text_key"])
+
+    def step(texts):
+        found = [list(shingles(x, WORDS)) for x in texts]
+        return [[np.unique(np.concatenate(x).astype(np.uint32)).view(np.int32) if x else [] for x in found]]
+
+    return extended(texts.join(named, "text_key").select("set", "text"), step, "hashes array<int>")
+
+
+def confirmed(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
     """The pairs u, v of sets that are similar enough, from their hashes."""
-    pairs = stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "pairs")
-    named = pairs.select(F.col("u").alias("set")).union(pairs.select("v")).distinct()
-    found = stored(prints.select("set", "hashes").join(named, "set", "left_semi").dropDuplicates(["set"]), "sets")
-    both = pairs.join(found.select(F.col("set").alias("u"), F.col("hashes").alias("x")), "u").join(found.select(F.col("set").alias("v"), F.col("hashes").alias("y")), "v")
-    both = both.where(_alike(F.size("x"), F.size("y"))).withColumn("common", F.size(F.array_intersect("x", "y")))
+    x, y = (hashes.select(F.col("set").alias(c), F.col("hashes").alias(h)) for c, h in (("u", "x"), ("v", "y")))
+    both = pairs.select("u", "v").join(x, "u").join(y, "v").where(_alike(F.size("x"), F.size("y"))).withColumn("common", F.size(F.array_intersect("x", "y")))
     return stored(both.where(F.col("common") * 5 >= (F.size("x") + F.size("y") - F.col("common")) * 4).select("u", "v"), "confirmed")
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose sets are in different components."""
+    for c in ("u", "v"):
+        pairs = pairs.join(roots.select(F.col("u").alias(c), F.col("v").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+    return pairs.where("u_root <> v_root").drop("u_root", "v_root")
+
+
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text_key, set, component_id, representative (boolean) of each row of df."""
     prints = stored(sets(df.select(key, text), text), "prints")
+    me = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("text_key").alias("text_key"))
+    nodes = stored(prints.groupBy("set").agg(F.min("n").alias("n"), F.min("bands").alias("bands"), F.min("text_key").alias("text_key"), F.min(me).alias("least")), "nodes")
     # texts of one fingerprint, and the links of fingerprints
     first = stored(prints.groupBy("fp").agg(F.min("set").alias("first")), "fingerprints")
     pairs = prints.join(first, "fp").select(F.col("set").alias("u"), F.col("first").alias("v"))
     linked = links(first.select("fp")).join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
     pairs = pairs.union(linked.select("a", "b"))
-    # sets of one bucket
-    rows = prints.select(F.explode("bands").alias("bucket"), "set", "n").distinct()
-    bucket = Window.partitionBy("bucket")
-    ordered = bucket.orderBy("set")
-    me = F.struct("set", "n")
-    others = F.array(F.first(me).over(ordered), *(F.lag(me, k).over(ordered) for k in range(1, NEAR + 1)))
-    rows = rows.select("bucket", "set", "n", others.alias("others"), F.count("*").over(bucket).alias("members")).where("members > 1")
-    rows = stored(rows, "buckets")
+    # sets of one bucket; large buckets are dealt out in parts, in each of which neighbours are looked at
+    node = F.struct("set", "n")
+    rows = nodes.select(F.explode(F.array_distinct("bands")).alias("bucket"), "set", "n")
+    sizes = stored(rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min(node).alias("first")).where("members > 1"), "sizes")
+    rows = rows.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("set"), F.ceil(F.col("members") / PART)))
+    ordered = Window.partitionBy("bucket", "part").orderBy("set")
+    others = F.array("first", *(F.lag(node, k).over(ordered) for k in range(1, NEAR + 1)))
+    rows = stored(rows.select("bucket", "set", "n", others.alias("others"), "members"), "buckets")
     near = rows.select("set", "n", F.explode("others").alias("o")).where(F.col("o").isNotNull() & _alike("n", "o.n"))
-    edges = confirmed(pairs.union(near.select("set", "o.set")), prints)
-    # what larger buckets hold outside their largest component
+    pairs = pairs.union(near.select("set", "o.set")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
+    pairs = stored(pairs.groupBy("u", "v").agg(F.count("*").alias("shared")), "pairs")
+    named = pairs.select(F.col("u").alias("set")).union(pairs.select("v")).union(rows.where(F.col("members") > NEAR + 1).select("set")).distinct()
+    hashes = stored(hashed(df.select(text), nodes.select("set", "text_key").join(named, "set", "left_semi"), text), "hashes")
+    # the rounds
+    best = stored(pairs.groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v")), "best")
+    edges = confirmed(best, hashes)
+    roots = components(edges)
+    rest = stored(_apart(pairs.select("u", "v").join(best, ["u", "v"], "left_anti"), roots), "rest")
+    edges = edges.union(confirmed(rest, hashes))
     roots = components(edges)
     large = rows.where(F.col("members") > NEAR + 1).select("bucket", "set", "n").join(roots.select(F.col("u").alias("set"), F.col("v").alias("root")), "set", "left")
     large = stored(large.withColumn("root", F.coalesce("root", "set")), "large")
     most = large.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root")).getField("root").alias("most"), F.count("*").alias("roots")).where("roots > 1").select("bucket", "most")
-    outside = large.join(most, "bucket").where("root <> most").select("bucket", F.col("set").alias("u"), F.col("n").alias("m"), F.col("root").alias("other"))
-    more = large.join(outside, "bucket").where((F.col("root") != F.col("other")) & _alike("n", "m"))
-    edges = edges.union(confirmed(more.select("u", F.col("set").alias("v")), prints))
-    roots = components(edges)
-    me = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("text_key").alias("text_key"))
-    least = stored(prints.groupBy("set").agg(F.min(me).alias("least")), "least")
-    rooted = least.join(roots.select(F.col("u").alias("set"), F.col("v").alias("root")), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    outside = large.join(most, "bucket").where("root <> most").select("bucket", F.col("set").alias("a"), F.col("n").alias("m"), F.col("root").alias("other"))
+    more = large.join(outside, "bucket").where((F.col("root") != F.col("other")) & _alike("n", "m")).select(F.greatest("a", "set").alias("u"), F.least("a", "set").alias("v")).distinct()
+    more = stored(more.join(pairs, ["u", "v"], "left_anti"), "more")
+    if not more.isEmpty():
+        roots = components(edges.union(confirmed(more, hashes)))
+    rooted = nodes.select("set", "least").join(roots.select(F.col("u").alias("set"), F.col("v").alias("root")), "set", "left").withColumn("root", F.coalesce("root", "set"))
     named = rooted.groupBy("root").agg(F.min("least").alias("first"))
     firsts = rooted.select("set", "root").join(named, "root").select("set", "first")
+    release(hashes)
     return prints.select(key, "text_key", "set").join(firsts, "set").select(key, "text_key", "set", F.col("first.key").alias("component_id"), (me == F.col("first")).alias("representative"))
