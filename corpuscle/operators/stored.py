@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscle.functions.text import terms
 from corpuscle.operators import fuzzy, index
 from corpuscle.operators.ranking import numbered
 from corpuscle.sources.storage import stored
@@ -58,8 +59,9 @@ class Index:
 
 
 def build(docs: DataFrame, path: str) -> Index:
-    """docs: doc_id, lang, text. Texts are read twice: for the postings and for the words."""
+    """docs: doc_id, text, perhaps lang. Texts are read twice: for the postings and for the words."""
     spark, base = docs.sparkSession, index.measured(docs)
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
     at = index.stats(base)
     spark.createDataFrame([(at.n, float(at.avdl))], "n long, avdl double").coalesce(1).write.parquet(f"{path}/stats")
     # both sides of the join are stored, so that a frequent term's partition can be split
@@ -68,9 +70,7 @@ def build(docs: DataFrame, path: str) -> Index:
     rows = tf.join(df, "term").select("term", "doc_id", "tf", "dl", "df")
     files = max(1, tf.count() // FILE_ROWS)
     rows.repartitionByRange(files, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
-    from corpuscle.functions.text import terms
-
-    seen = docs.select("doc_id", "lang", F.posexplode(terms(F.col("text"))).alias("pos", "name")).groupBy("name").agg(F.count("*").alias("score"), F.min("lang").alias("description"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    seen = docs.select("doc_id", lang, F.posexplode(terms(F.col("text"))).alias("pos", "name")).groupBy("name").agg(F.count("*").alias("score"), F.min("lang").alias("description"), F.min(F.struct("doc_id", "pos")).alias("first"))
     seen = seen.select("name", "score", "description", F.col("first.doc_id").alias("d_"), F.col("first.pos").alias("p_"))
     numbered(seen, [F.col("d_"), F.col("p_")], "word_id").select("word_id", "name", "score", "description").write.parquet(f"{path}/words")
     out = Index(spark, path)
