@@ -237,8 +237,13 @@ def taken(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     nothing is joined back by a key that rows may share."""
     model = fit_classifier(labelled_sample(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), labels))
     rates = fit_rates(stored(posteriors(docs.select(F.col(text).alias("text")), model), "posteriors"), targets)
-    rows, names = tucked(docs, text, draw=F.xxhash64(key, text), whole=F.col(text))
-    rated = extended(rows, lambda texts: [rates.of(judged(texts, model)[1])], "rate double")
+    rows, names = tucked(docs, text, draw=F.xxhash64(key, text))
+
+    def step(rows, texts):
+        return [*rows.columns, texts, rates.of(judged(texts, model)[1])]
+
+    schema = StructType([rows.schema["in_"], rows.schema["draw"], StructField("whole", docs.schema[text].dataType), StructField("rate", DoubleType())])
+    rated = map_texts(rows, step, schema)
     often = rated.withColumn("often", copies(F.col("draw"), F.col("rate"))).where("often > 0")
     each = often.withColumn("often", F.explode(F.sequence(F.lit(1).cast("long"), F.col("often"))))
     return untucked(each, names, {text: F.col("whole")}).select(*docs.columns)

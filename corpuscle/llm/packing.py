@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from corpuscle.llm.shared import arrow_schema, bounded_batches, documents
+from corpuscle.llm.shared import arrow_schema, bounded_batches, documents, trimmed
 from corpuscle.llm.tokens import load
 
 LENGTH = 2048
@@ -145,11 +145,16 @@ def _letters(word: str) -> bool:
     return word.isalpha() and (word.isascii() or normalize("NFC", word).lower().isalpha())
 
 
+def new_ids(path: str) -> WordIds | TextIds:
+    """For one task: what it has kept goes with it."""
+    tokenizer = load.__wrapped__(path)
+    return WordIds(tokenizer) if divides_words(tokenizer) else TextIds(tokenizer)
+
+
 @functools.cache
 def text_ids(path: str) -> WordIds | TextIds:
     """One for each worker process, whose tasks share what it has kept."""
-    tokenizer = load(path)
-    return WordIds(tokenizer) if divides_words(tokenizer) else TextIds(tokenizer)
+    return new_ids(path)
 
 
 def pack_pool(pieces: list[tuple], length: int = LENGTH, quadratic: float = QUADRATIC, last: bool = False):
@@ -197,9 +202,10 @@ def pack_pool(pieces: list[tuple], length: int = LENGTH, quadratic: float = QUAD
     return sequences + opened, left
 
 
-def packed(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID, quadratic: float = QUADRATIC, with_ids: bool = False) -> DataFrame:
+def packed(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID, quadratic: float = QUADRATIC, with_ids: bool = False, keep: bool = True) -> DataFrame:
     """A row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_cost
-    (the estimated cost of its sequence), and with `with_ids` the ids themselves."""
+    (the estimated cost of its sequence), and with `with_ids` the ids themselves. keep: whether workers keep the
+    ids of words from task to task, which saves time and takes memory."""
     made = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_cost double" + ", ids array<int>" * with_ids
     schema = StructType([df.schema[key], *StructType.fromDDL(made).fields])
     out = arrow_schema(schema)
@@ -209,7 +215,7 @@ def packed(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", le
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, end = text_ids(path), np.array([end_id], "<u4").tobytes()
+        encode, end = text_ids(path) if keep else new_ids(path), np.array([end_id], "<u4").tobytes()
         made = TaskContext.get().partitionId() << 33
         docs: dict[int, tuple] = {}  # number -> key, ids of those that a piece still needs
         left: list[tuple] = []
@@ -243,7 +249,7 @@ def packed(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", le
                     yield flush(False)
         yield flush(True)
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(key, text).mapInArrow(trimmed(run), schema)
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:

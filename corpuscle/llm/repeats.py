@@ -40,7 +40,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.shared import arrow_schema, bounded_batches, documents, map_texts, release, stored, tucked, untucked
+from corpuscle.llm.shared import arrow_schema, bounded_batches, documents, map_texts, release, stored, trimmed, tucked, untucked
 
 LENGTH = 200
 GRAM = 40
@@ -282,7 +282,7 @@ def _compared(rows: DataFrame) -> DataFrame:
         if held:
             yield compare(held)
 
-    return rows.mapInArrow(run, "c1 long, c2 long, low int, high int")
+    return rows.mapInArrow(trimmed(run), "c1 long, c2 long, low int, high int")
 
 
 def _split(rows: DataFrame, width: int) -> DataFrame:

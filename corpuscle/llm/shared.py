@@ -117,6 +117,23 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
+def trimmed(run):
+    """A function over batches that gives back to the system what its worker has freed, when a task ends:
+    workers live on, and an executor's memory is that of all of them."""
+
+    def whole(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return whole
+
+
 def map_texts(df: DataFrame, step, schema: str | StructType, text: str = "text", most: int = STEP_BYTES, finish=None) -> DataFrame:
     """`step(rows, texts)` over the rows of df, in steps of at most `most` bytes of text (one row at
     least). rows: an Arrow batch of the other columns; texts: list of bytes (UTF-8), None for null.
@@ -142,7 +159,7 @@ def map_texts(df: DataFrame, step, schema: str | StructType, text: str = "text",
         if finish is not None and (made := finish()) is not None:
             yield batch_of(made)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def extended(df: DataFrame, step, made: str, text: str = "text", most: int = STEP_BYTES) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.llm.components import components
-from corpuscle.llm.shared import arrow_schema, documents, extended, stored
+from corpuscle.llm.shared import arrow_schema, documents, extended, stored, trimmed
 
 SHINGLE = 3
 SEED = 42
@@ -200,7 +200,7 @@ def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
         if held and len(held[0][0]):
             yield edges([np.ascontiguousarray(np.concatenate(x)) for x in zip(*held, strict=True)])
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(trimmed(run), "u long, v long")
 
 
 def with_components(prints: DataFrame, key: str = "doc_id", tile: int = TILE) -> DataFrame:
