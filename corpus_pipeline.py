@@ -54,10 +54,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences."""
+    """The pieces of all documents, packed into sequences. Workers of a pipeline have other stages to run: they
+    keep nothing of a task."""
     import public_tokenizers
 
-    return packing.packed(docs, public_tokenizers.path(packing.TOKENIZER))
+    return packing.packed(docs, public_tokenizers.path(packing.TOKENIZER), keep=False)
 
 
 STAGES = [("language ID", language_id), ("SimHash near-dedup", near_duplicates), ("PII", personal_data), ("mixing", mixed), ("packing", packed)]
