@@ -1,8 +1,8 @@
 """Hidden Markov model: estimation by counts, Viterbi tagging in log2 space, runs of a tag.
 
-Sentences are rows and are tagged within a row: `tagged` keeps the dictionary as a table, `viterbi` takes a
-small model as literals, both with built-in functions; `viterbi_udf` is an Arrow UDF for large tag sets. Ties go
-to the larger tag.
+Sentences are rows and are tagged within a row: `tagged` keeps the dictionary as a table and tags by an Arrow
+UDF; `viterbi` takes a small model as literals, with built-in functions, whose paths are copied at every step, so
+that it is for short sentences; `viterbi_udf` is the same as an Arrow UDF. Ties go to the larger tag.
 """
 
 from __future__ import annotations
@@ -95,19 +95,48 @@ def viterbi(words: Column, m: Model) -> Column:
 def tagged(rows: DataFrame, key: str, order: list[str], transitions_: DataFrame, emissions_: DataFrame) -> DataFrame:
     """key, words, v (struct<lp, tags>) of sentences (key, order..., word). The dictionary stays a table, a
     row for each word with its log probabilities by tag, and is joined to the words; only the transitions, of
-    a size set by the tag set, meet the driver. Built-in functions only."""
+    a size set by the tag set, meet the driver. v.tags is null where no path has a probability."""
     m = model(transitions_, emissions_.limit(0))
     by_tag = [F.max(F.when((F.col("tag") == t) & (F.col("p") > 0), F.log2("p"))) for t in m.tags]
     wide = emissions_.groupBy("word").agg(F.array(*by_tag).alias("e_"))
     items = rows.select(key, *order, "word").join(wide, "word", "left").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, "word", "e_"))).alias("w_"))
-    place = {t: i for i, t in enumerate(m.tags)}
-    found = _likeliest(F.transform("w_", lambda x: x["e_"]), m, lambda e, tag: F.get(e, F.lit(place[tag])))
-    return items.select(key, F.transform("w_", lambda x: x["word"]).alias("words"), found.alias("v"))
+    return items.select(key, F.transform("w_", lambda x: x["word"]).alias("words"), _tagger(m)(F.transform("w_", lambda x: x["e_"])).alias("v"))
+
+
+def _tagger(m: Model):
+    """An Arrow UDF over arrays of emissions (log probabilities by tag, null if impossible)."""
+    n = len(m.tags)
+    trans = np.array([[m.trans.get((a, b), -np.inf) for b in m.tags] for a in m.tags]).reshape(n, n)
+    first, last = (np.array([m.trans.get(p, -np.inf) for p in pairs]) for pairs in ([(BEGIN, t) for t in m.tags], [(t, END) for t in m.tags]))
+    tags = m.tags
+
+    @F.pandas_udf("struct<lp:double,tags:array<string>>")
+    def tag(sentences: pd.Series) -> pd.DataFrame:
+        out = []
+        for sentence in sentences:
+            emitted = [np.full(n, -np.inf) if e is None else np.array([-np.inf if x is None else x for x in e], float) for e in sentence]
+            emitted = [np.where(np.isnan(e), -np.inf, e) for e in emitted]
+            lp, back = first + emitted[0], []
+            for e in emitted[1:]:
+                reach = lp[:, None] + trans
+                back.append(n - 1 - np.argmax(reach[::-1], axis=0))  # of equals the larger tag
+                lp = reach.max(axis=0) + e
+            at = n - 1 - int(np.argmax((lp + last)[::-1]))
+            total, path = float((lp + last)[at]), [at]
+            if not np.isfinite(total):
+                out.append((None, None))
+                continue
+            for b in reversed(back):
+                path.append(int(b[path[-1]]))
+            out.append((total, [tags[i] for i in reversed(path)]))
+        return pd.DataFrame({"lp": pd.array([x[0] for x in out], "Float64").to_numpy(float, na_value=np.nan), "tags": [x[1] for x in out]})
+
+    return tag
 
 
 def named_entities(rows: DataFrame, key: str, order: list[str], transitions_: DataFrame, emissions_: DataFrame, tag: str = "NNP") -> DataFrame:
     """key, start (0-based place), text: sentences are tagged, and maximal runs of `tag` joined."""
-    found = tagged(rows, key, order, transitions_, emissions_).where("v IS NOT NULL")
+    found = tagged(rows, key, order, transitions_, emissions_).where("v.tags IS NOT NULL")
     both = F.zip_with("words", "v.tags", lambda w, t: F.struct(w.alias("word"), t.alias("tag")))
     return runs(found.select(key, F.posexplode(both).alias("pos", "x")).select(key, "pos", "x.word", "x.tag"), tag, key)
 
