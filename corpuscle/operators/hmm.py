@@ -32,7 +32,7 @@ def model(transitions: DataFrame, emissions: DataFrame) -> Model:
     """From tag1, tag2, p and word, tag, p: model tables, of a size set by the tag set and the dictionary."""
     trans = {(r["tag1"], r["tag2"]): log2(r["p"]) for r in transitions.collect() if r["p"] and r["p"] > 0}
     emit = {(r["word"], r["tag"]): log2(r["p"]) for r in emissions.collect() if r["p"] and r["p"] > 0}
-    tags = {t for pair in trans for t in pair} - {BEGIN, END}
+    tags = {t for pair in trans for t in pair} - {BEGIN, END, None}
     return Model(tuple(sorted(tags)), trans, emit)
 
 
@@ -97,12 +97,23 @@ def tagged(rows: DataFrame, key: str, order: list[str], transitions_: DataFrame,
     row for each word with its log probabilities by tag, and is joined to the words; only the transitions, of
     a size set by the tag set, meet the driver. v.tags is null where no path has a probability."""
     m = model(transitions_, emissions_.limit(0))
-    by_tag = [F.max(F.when((F.col("tag") == t) & (F.col("p") > 0), F.log2("p"))) for t in m.tags]
-    wide = emissions_.groupBy("word").agg(F.array(*by_tag).alias("e_"))
+    by_tag = [F.max(F.when(F.col("tag") == t, F.col("p"))) for t in m.tags]
+    wide = emissions_.groupBy("word").agg(F.array(*by_tag).alias("p_")).select("word", _logs()("p_").alias("e_"))
     items = rows.select(key, *order, "word").join(wide, "word", "left").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, "word", "e_"))).alias("w_"))
     return items.select(key, F.transform("w_", lambda x: x["word"]).alias("words"), _tagger(m)(F.transform("w_", lambda x: x["e_"])).alias("v"))
 
 
+def _logs():
+    """An Arrow UDF: binary logarithms of arrays of probabilities, null if impossible. They are those of the C
+    library, as the transitions' are: the JVM's differ in the last bit, which decides between paths whose
+    probabilities are equal."""
+    @F.pandas_udf("array<double>")
+    def logs(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda p: [log2(x) if x is not None and x > 0 else None for x in p])
+
+    return logs
+
+
 def _tagger(m: Model):
     """An Arrow UDF over arrays of emissions (log probabilities by tag, null if impossible)."""
     n = len(m.tags)
