@@ -1,7 +1,8 @@
 """Error-tolerant prefix search: q-gram candidates, count filter, prefix edit distance, ranking.
 
 The cheap count comes first; the distance is worked out for candidates that pass it only. Queries are a
-stated, small set; the index may be of any size. As is usual for this search, only entities that share a q-gram
+stated, small set and go to every task; the index and the entities may be of any size and never meet the
+driver, whatever Spark takes their sizes to be: q-grams are many times the file that they come from. As is usual for this search, only entities that share a q-gram
 with the query are candidates: where the count filter lets everything pass (its bound is 0 or less, as for
 short queries with a delta) entities without one are missed, unless `complete` asks for them too.
 """
@@ -27,7 +28,7 @@ def with_delta(queries: DataFrame) -> DataFrame:
 def candidates(index: DataFrame, queries: DataFrame, q: int = 3, pad: str = "both") -> DataFrame:
     """x, delta, word_id, cnt: common q-grams, each occurrence on either side counting."""
     asked = with_delta(queries).select("x", "delta", F.explode(qgrams(F.col("x"), q, pad)).alias("qgram"))
-    return index.join(asked, "qgram").groupBy("x", "delta", "word_id").agg(F.count("*").alias("cnt"))
+    return index.join(F.broadcast(asked), "qgram").groupBy("x", "delta", "word_id").agg(F.count("*").alias("cnt"))
 
 
 def checked(entities: DataFrame, queries: DataFrame, q: int = 3, pad: str = "both", raw_length: bool = False, index: DataFrame | None = None, complete: bool = False) -> DataFrame:
@@ -39,9 +40,9 @@ def checked(entities: DataFrame, queries: DataFrame, q: int = 3, pad: str = "bot
     least = size - 1 - F.col("delta") * q
     asked = with_delta(queries).withColumn("loose_", (least <= 0) & F.lit(complete))
     found = candidates(qgram_index(entities, q, pad) if index is None else index, asked.where("NOT loose_"), q, pad)
-    found = found.where(F.col("cnt") >= least).join(entities, "word_id")
+    found = found.where(F.col("cnt") >= least).join(entities.hint("merge"), "word_id")
     if complete:
-        all_ = entities.join(asked.where("loose_").select("x", "delta"), how="cross")
+        all_ = entities.join(F.broadcast(asked.where("loose_").select("x", "delta")), how="cross")
         found = found.unionByName(all_.withColumn("cnt", F.lit(None).cast("long")))
     begins = F.startswith(F.col("name"), F.col("x")) if raw_length else F.startswith(normal(F.col("name")), normal(F.col("x")))
     found = found.where((F.col("delta") > 0) | begins)
