@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.llm.components import components
-from corpuscle.llm.shared import extended, release, stored
+from corpuscle.llm.shared import extended, release, stored, trim_heaps
 from corpuscle.llm.simhash import SEED, links, majority, shingles
 
 WORDS = 5
@@ -133,12 +133,14 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     named = pairs.select(F.col("u").alias("set")).union(pairs.select("v")).union(rows.where(F.col("members") > NEAR + 1).select("set")).distinct()
     hashes = stored(hashed(df.select(text), nodes.select("set", "text_key").join(named, "set", "left_semi"), text), "hashes")
     # the rounds
+    trim_heaps(df.sparkSession)
     best = stored(pairs.groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v")), "best")
     edges = confirmed(best, hashes)
     roots = components(edges)
     rest = stored(_apart(pairs.select("u", "v").join(best, ["u", "v"], "left_anti"), roots), "rest")
     edges = edges.union(confirmed(rest, hashes))
     roots = components(edges)
+    trim_heaps(df.sparkSession)
     large = rows.where(F.col("members") > NEAR + 1).select("bucket", "set", "n").join(roots.select(F.col("u").alias("set"), F.col("v").alias("root")), "set", "left")
     large = stored(large.withColumn("root", F.coalesce("root", "set")), "large")
     most = large.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root")).getField("root").alias("most"), F.count("*").alias("roots")).where("roots > 1").select("bucket", "most")

@@ -1,9 +1,13 @@
 """The pipeline against brute force, stage by stage, and what the operators share."""
 
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -180,3 +184,49 @@ def test_stored_and_release(spark):
 
     assert not Path(file.removeprefix("file://")).exists()
     shared.release(shared.stored(spark.range(5).where("id > 9"), "none"))
+
+
+#: An executor of its own: its JVM's memory (MB, the largest seen) before any work, after some that leaves garbage, and after a stage.
+HEAPS = """
+from pyspark.sql import SparkSession, functions as F
+
+import corpus_pipeline
+
+conf = {"spark.executor.memory": "1200m", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.host": "127.0.0.1"}
+spark = SparkSession.builder.master("local-cluster[1,2,1200]").config(map=conf).getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+
+
+def measured(batches):
+    import os
+    import re
+
+    import pyarrow as pa
+
+    status = lambda p: open(f"/proc/{p}/status").read()
+    for _ in batches:
+        jvm = int(re.search(r"PPid:\\s+(\\d+)", status(os.getppid()))[1])  # the worker's daemon's parent
+        yield pa.RecordBatch.from_pydict({"mb": [int(re.search(r"RssAnon:\\s+(\\d+)", status(jvm))[1]) >> 10]})
+
+
+look = lambda: spark.range(0, 2, 1, 2).mapInArrow(measured, "mb long").agg(F.max("mb")).first()[0]
+found = [look()]
+spark.range(0, 300_000, 1, 4).select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(300)), lambda x: F.concat(x.cast("string"), F.col("id").cast("string"))), "").alias("x")).write.format("noop").mode("overwrite").save()
+found.append(look())
+corpus_pipeline.personal_data(spark, spark.createDataFrame([(1, "a b")], "doc_id long, text string"), "")
+print("MB:", *found, look(), flush=True)
+"""
+
+
+def test_a_stage_begins_with_small_heaps(tmp_path):
+    home = tmp_path / "home"  # executors' logs go to work in Spark's home
+    home.mkdir()
+    for p in Path(os.path.dirname(sys.modules["pyspark"].__file__)).iterdir():
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    env = os.environ | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_LOCAL_DIRS": str(tmp_path / "local"), "PYSPARK_PYTHON": sys.executable}
+    (tmp_path / "heaps.py").write_text(HEAPS)
+    out = subprocess.run([sys.executable, tmp_path / "heaps.py"], env=env, capture_output=True, text=True, timeout=300)
+    assert "MB:" in out.stdout, out.stderr[-2000:]
+    start, grown, after = map(int, out.stdout.split("MB:")[1].split())
+    assert grown > start + 100 and after < (start + grown) / 2
