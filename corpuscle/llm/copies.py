@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.llm.components import components
-from corpuscle.llm.shared import extended, release, stored, trim_heaps
+from corpuscle.llm.shared import arrow_schema, bounded_batches, extended, release, stored, trim_heaps, trimmed
 from corpuscle.llm.simhash import SEED, links, majority, shingles
 
 WORDS = 5
@@ -37,6 +37,8 @@ BANDS, ROWS = 24, 5
 NEAR = 4
 #: Sets of a bucket that meet in one task, about.
 PART = 4096
+#: Hashes of sets that are held against others in one task, about.
+TOGETHER = 1 << 20
 #: Shingles that are permuted in one step.
 PERMUTED = 4096
 _random = np.random.default_rng(SEED)
@@ -109,6 +111,87 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("u_root <> v_root").drop("u_root", "v_root")
 
 
+def forest(sets: np.ndarray, n: np.ndarray, root: np.ndarray, member: np.ndarray, outside: np.ndarray, hashes: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links u, v of each set outside with the members that are similar enough, as far as they join components."""
+    above: dict[int, int] = {}
+
+    def top(r: int) -> int:
+        while r in above:
+            r = above[r]
+        return r
+
+    inner = np.flatnonzero(member)
+    inner = inner[np.argsort(n[inner], kind="stable")]
+    sizes, lengths = n[inner], np.array([len(hashes[i]) for i in inner], np.int64)
+    starts = np.concatenate(([0], np.cumsum(lengths)))
+    words = np.concatenate([hashes[i] for i in inner]) if len(inner) else np.empty(0, np.int32)
+    known = np.unique(words)
+    words = np.searchsorted(known, words).astype(np.int32)
+    held, found = np.zeros(len(known), bool), []
+    for i in np.flatnonzero(outside):
+        a, b = np.searchsorted(5 * sizes, 4 * n[i], "left"), np.searchsorted(4 * sizes, 5 * n[i], "right")
+        if a >= b:
+            continue
+        at = np.flatnonzero(np.isin(known, hashes[i]))
+        held[at] = True
+        common = np.add.reduceat(held[words[starts[a] : starts[b]]], starts[a:b] - starts[a], dtype=np.int64)
+        held[at] = False
+        near = inner[a:b][9 * common >= 4 * (lengths[a:b] + len(hashes[i]))]
+        for j in near[root[near] != root[i]]:
+            r, q = top(int(root[i])), top(int(root[j]))
+            if r != q:
+                above[max(r, q)] = min(r, q)
+                found.append((int(max(sets[i], sets[j])), int(min(sets[i], sets[j]))))
+    return found
+
+
+def linked_in_buckets(large: DataFrame, hashes: DataFrame, most: int = TOGETHER) -> DataFrame:
+    """Links u, v between sets of one bucket and different components (large: bucket, set, n, root), enough of
+    them to join the components that any such pair joins. A bucket's sets outside its largest component meet
+    all of its sets in a task, which returns links only, never the pairs; both are dealt out in parts of about
+    `most` hashes, and each part of the one meets each of the other."""
+    counted = large.groupBy("bucket", "root").agg(F.count("*").alias("count"), F.sum("n").alias("size"))
+    mixed = counted.groupBy("bucket").agg(F.max(F.struct("count", "root", "size")).alias("top"), F.count("*").alias("roots"), F.sum("size").alias("all")).where("roots > 1")
+    parts = lambda size: F.ceil(size / most).cast("int")
+    mixed = mixed.select("bucket", F.col("top.root").alias("largest"), parts(F.col("all") - F.col("top.size")).alias("across"), parts(F.col("all")).alias("down"))
+    rows = large.join(mixed, "bucket").withColumn("outside", F.col("root") != F.col("largest"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("set"), "down").cast("int")).withColumn("own", F.pmod(F.xxhash64("set", F.lit(1)), "across").cast("int"))
+    cell = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    each = lambda end, made: F.transform(F.sequence(F.lit(0), F.col(end) - 1), made)
+    across, down = each("across", lambda x: cell(x, F.col("mine"))), each("down", lambda y: cell(F.col("own"), y))
+    rows = rows.withColumn("cell", F.explode(F.when(F.col("outside"), F.array_union(across, down)).otherwise(across)))
+    member, outside = F.col("cell.y") == F.col("mine"), F.col("outside") & (F.col("cell.x") == F.col("own"))
+    rows = rows.select("bucket", "cell.x", "cell.y", "set", F.col("n").cast("long").alias("n"), "root", member.alias("member"), outside.alias("outer"))
+    rows = rows.join(hashes, "set").select("bucket", "x", "y", "set", "n", "root", "member", "outer", "hashes")
+    rows = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    out = arrow_schema("u long, v long")
+    bounded_batches(large.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, held = None, []
+
+        def links():
+            *columns, lists = zip(*held)
+            found = forest(*map(np.array, columns), lists)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], schema=out)
+
+        for batch in batches:
+            *columns, lists = batch.columns
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for i, row in enumerate(zip(*(c.to_pylist() for c in columns), strict=True)):
+                if row[:3] != key and held:
+                    yield links()
+                    held.clear()
+                key = row[:3]
+                held.append((*row[3:], values[ends[i] : ends[i + 1]].copy()))
+        if held:
+            yield links()
+
+    return rows.mapInArrow(trimmed(run), "u long, v long")
+
+
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text_key, set, component_id, representative (boolean) of each row of df."""
     prints = stored(sets(df.select(key, text), text), "prints")
@@ -143,12 +226,9 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     trim_heaps(df.sparkSession)
     large = rows.where(F.col("members") > NEAR + 1).select("bucket", "set", "n").join(roots.select(F.col("u").alias("set"), F.col("v").alias("root")), "set", "left")
     large = stored(large.withColumn("root", F.coalesce("root", "set")), "large")
-    most = large.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root")).getField("root").alias("most"), F.count("*").alias("roots")).where("roots > 1").select("bucket", "most")
-    outside = large.join(most, "bucket").where("root <> most").select("bucket", F.col("set").alias("a"), F.col("n").alias("m"), F.col("root").alias("other"))
-    more = large.join(outside, "bucket").where((F.col("root") != F.col("other")) & _alike("n", "m")).select(F.greatest("a", "set").alias("u"), F.least("a", "set").alias("v")).distinct()
-    more = stored(more.join(pairs, ["u", "v"], "left_anti"), "more")
+    more = stored(linked_in_buckets(large, hashes), "more")
     if not more.isEmpty():
-        roots = components(edges.union(confirmed(more, hashes)))
+        roots = components(edges.union(more))
     rooted = nodes.select("set", "least").join(roots.select(F.col("u").alias("set"), F.col("v").alias("root")), "set", "left").withColumn("root", F.coalesce("root", "set"))
     named = rooted.groupBy("root").agg(F.min("least").alias("first"))
     firsts = rooted.select("set", "root").join(named, "root").select("set", "first")

@@ -230,3 +230,32 @@ def test_a_stage_begins_with_small_heaps(tmp_path):
     assert "MB:" in out.stdout, out.stderr[-2000:]
     start, grown, after = map(int, out.stdout.split("MB:")[1].split())
     assert grown > start + 100 and after < (start + grown) / 2
+
+
+def test_links_in_buckets_are_those_of_all_pairs(spark):
+    rng = random.Random(5)
+    sets, large = {}, []
+    for bucket in range(6):
+        base = rng.sample(range(-(1 << 31), 1 << 31), 60)
+        for _ in range(25):
+            kept = [x for x in base if rng.random() > rng.choice([0.02, 0.1, 0.2])]
+            sets[len(sets)] = kept + rng.sample(range(-(1 << 31), 1 << 31), rng.choice([0, 2, 8]))
+        large += [(bucket, k, len(sets[k]), k - k % 2 if bucket < 4 else 100 if k % 9 else k) for k in range(25 * bucket, 25 * bucket + 25)]
+    root = {k: r for _, k, _, r in large}
+
+    def joined(links):
+        label = {r: r for r in root.values()}
+        for u, v in links:
+            a, b = label[root[u]], label[root[v]]
+            label = {k: min(a, b) if x in (a, b) else x for k, x in label.items()}
+        return label
+
+    alike = lambda a, b: len(set(a) & set(b)) * 5 >= len(set(a) | set(b)) * 4
+    want = joined([(u, v) for b, u, _, _ in large for c, v, _, _ in large if b == c and u > v and alike(sets[u], sets[v])])
+    rows = spark.createDataFrame(large, "bucket long, set long, n int, root long")
+    hashes = spark.createDataFrame(list(sets.items()), "set long, hashes array<int>")
+    for most in (1 << 20, 400):  # each bucket in one part, or both sides in several
+        links = [tuple(r) for r in copies.linked_in_buckets(rows, hashes, most).collect()]
+        assert joined(links) == want and all(u > v and alike(sets[u], sets[v]) for u, v in links)
+        assert len(links) < 2 * len(sets) or most < 1 << 20
+    assert len(set(want.values())) < len(want)
